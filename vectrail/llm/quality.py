@@ -112,9 +112,14 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with their columns unchanged."""
+    """The rows of docs that the rules keep, with their columns unchanged.
+
+    The filter also names a non-deterministic column, so that Catalyst evaluates it on the measures' columns
+    and does not push it below them, where each reference would compute a measure anew.
+    """
     base, kept = verdict("__quality_")
-    return measures(docs, p="__quality_").filter(kept).select(*[F.col(f"`{x}`") for x in docs.columns])
+    m = measures(docs, p="__quality_").withColumn("__quality_row", F.monotonically_increasing_id())
+    return m.filter(kept & (F.col("__quality_row") >= 0)).select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
