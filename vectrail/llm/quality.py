@@ -72,9 +72,13 @@ def measures(docs: DataFrame, text: str = "text", p: str = "") -> DataFrame:
         f"{p}n_exclaims": F.regexp_count(t, F.lit("!")).cast("long"),
         f"{p}n_stop_words": F.size(F.filter(w, lambda x: x.isin(*STOP_WORDS))).cast("long"),
         f"{p}lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(blank_free)),
-        f"{p}h": F.when(F.size(w) < 4, F.array().cast("array<bigint>")).otherwise(
-            F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))),
+        f"{p}g": F.transform(w, lambda x: F.xxhash64(x)),
     })
+    # hashes of all windows of three words, by pairing the words' hashes with themselves shifted by one and by two
+    pair = lambda x, y: F.xxhash64(x, y)
+    g = c("g")
+    windows = F.zip_with(F.zip_with(g, F.slice(g, 2, F.greatest(F.size(g), F.lit(1))), pair), F.slice(g, 3, F.greatest(F.size(g), F.lit(1))), pair)
+    d = d.withColumn(f"{p}h", F.slice(windows, 1, F.greatest(F.size(g) - 2, F.lit(0))))
     h, lines = c("h"), c("lines")
     paired = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
