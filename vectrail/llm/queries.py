@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, sharding, warc
+from . import chat, jaccard, mixing, quality, sharding, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_chat_round_trip": chat.op4_chat_round_trip,
     "op9_mix_to_weights": mixing.op9_mix_to_weights,
+    "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
 }
 
 ORACLE_SQL = {
@@ -18,4 +19,5 @@ ORACLE_SQL = {
     "op3_quality_rules": quality.OP3_SQL,
     "op4_chat_round_trip": chat.OP4_SQL,
     "op9_mix_to_weights": mixing.OP9_SQL,
+    "op10_ngram_jaccard": jaccard.OP10_SQL,
 }
