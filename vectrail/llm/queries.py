@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, mixing, quality, sharding, substring, warc
+from . import chat, decontam, jaccard, mixing, quality, sharding, substring, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
     "op2_stratified_shards": sharding.op2_stratified_shards,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_chat_round_trip": chat.op4_chat_round_trip,
+    "op5_latent_decontamination": decontam.op5_latent_decontamination,
     "op8_debruijn_dedup": substring.op8_debruijn_dedup,
     "op9_mix_to_weights": mixing.op9_mix_to_weights,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
