@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, jaccard, mixing, pii, quality, sharding, substring, warc
+from . import chat, decontam, jaccard, licenses, mixing, pii, quality, sharding, substring, warc
 
 QUERIES = {
     "op1_warc_transactions": warc.op1_warc_transactions,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_chat_round_trip": chat.op4_chat_round_trip,
     "op5_latent_decontamination": decontam.op5_latent_decontamination,
+    "op6_license_scan": licenses.op6_license_scan,
     "op7_personal_data": pii.op7_personal_data,
     "op8_debruijn_dedup": substring.op8_debruijn_dedup,
     "op9_mix_to_weights": mixing.op9_mix_to_weights,
