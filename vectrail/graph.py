@@ -38,6 +38,10 @@ class PropertyGraph:
         """An empty graph."""
         return PropertyGraph(spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES), config=config)
 
+    def plain_nodes(self) -> DataFrame:
+        """The nodes without the columns of indexed properties, which only stored graphs have; changes start here."""
+        return self.nodes.select("node_id", "node_type", "type_id", "props", "embedding")
+
     def writable(self) -> None:
         if self.config.read_only:
             raise Storage("the graph is read-only")

@@ -49,7 +49,7 @@ def add_node(g: PropertyGraph, node_type: str, properties: dict[str, Any] | None
     row = g.spark.range(1).select(
         F.lit(i).cast("long").alias("node_id"), F.lit(node_type).alias("node_type"), F.lit(type_id).alias("type_id"), _properties(properties).alias("props"), F.lit(None).cast("array<float>").alias("embedding")
     )
-    return replace(g, nodes=g.nodes.unionByName(row), next_node_id=i + 1, pending=_log(g, "add_node", i)), i
+    return replace(g, nodes=g.plain_nodes().unionByName(row), next_node_id=i + 1, pending=_log(g, "add_node", i)), i
 
 
 def add_nodes(g: PropertyGraph, rows: DataFrame, key: str) -> PropertyGraph:
@@ -60,7 +60,7 @@ def add_nodes(g: PropertyGraph, rows: DataFrame, key: str) -> PropertyGraph:
     n, types = rows.count(), g.type_table()
     new = dense_index(rows, key, "at").join(F.broadcast(types), F.col("node_type") == F.col("label"))  # registered types: a driver-side dictionary
     new = new.select((F.col("at") + g.next_node_id).alias("node_id"), "node_type", "type_id", "props", F.lit(None).cast("array<float>").alias("embedding"))
-    return replace(g, nodes=g.nodes.unionByName(new), next_node_id=g.next_node_id + n, pending=_log(g, "add_nodes", n))
+    return replace(g, nodes=g.plain_nodes().unionByName(new), next_node_id=g.next_node_id + n, pending=_log(g, "add_nodes", n))
 
 
 def set_node_embeddings(g: PropertyGraph, embeddings: DataFrame) -> PropertyGraph:
@@ -94,7 +94,7 @@ def update_node_properties(g: PropertyGraph, node_id: int, patch: PropertyPatch)
     g.writable()
     g.need_nodes(node_id)
     new = F.when(F.col("node_id") == node_id, merge(F.col("props"), patch.values, set(patch.removed))).otherwise(F.col("props"))
-    return replace(g, nodes=g.nodes.withColumn("props", new), pending=_log(g, "update_node_properties", node_id))
+    return replace(g, nodes=g.plain_nodes().withColumn("props", new), pending=_log(g, "update_node_properties", node_id))
 
 
 def remove_node(g: PropertyGraph, node_id: int, cascade: bool = False) -> PropertyGraph:
