@@ -28,7 +28,7 @@ def same(spark, db, query, sql):
     assert text(tuple(x[c] for c in columns) for x in d.collect()) == text(tuple(x[i] for i in at) for x in r.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, db, name):
     same(spark, db, QUERIES[name], SQL[name])
 

@@ -15,8 +15,10 @@ from ..operators import export, mutations, query, similarity, traverse
 from ..operators.query import EdgeFilter, PropertyQuery
 from ..operators.similarity import Reach, SimilarityQuery
 from ..operators.traverse import BOTH, IN, Steps, Traversal
-from ..sources import storage
+from ..sources import fixture, storage
 from ..sources.tables import EDGE_TABLES, NODE_TABLES, load
+from ..streaming import ingest
+from . import workload
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -330,3 +332,34 @@ QUERIES["latency_percentiles"] = lambda spark, d: spark.read.parquet(f"{d}/event
     *[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)").alias(f"p{n}") for p, n in ((0.5, 50), (0.95, 95), (0.99, 99))], F.count("*").alias("n")
 )
 SQL["latency_percentiles"] = "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, count(*) AS n FROM events GROUP BY event_type"
+
+# --- generated graphs, workload, streamed updates
+
+
+def _generated(spark: SparkSession, d: str) -> DataFrame:
+    p = fixture.Parameters(nodes=2_000, dim=64)
+    return fixture.self_check(fixture.generate(spark, p), p)
+
+
+QUERIES["fixture_self_check"] = _generated
+register(
+    "workload_strata",
+    f"""WITH {EDGES_SQL}, d AS (SELECT src AS node_id, count(*) AS out_degree FROM edges GROUP BY src),
+b AS (SELECT quantile_disc(out_degree, 1.0 / 3) AS t, quantile_disc(out_degree, 2.0 / 3) AS u, quantile_disc(out_degree, 0.9) AS v FROM d)
+SELECT node_id, out_degree, CASE WHEN out_degree >= v THEN 'hub' WHEN out_degree <= t THEN 'low' WHEN out_degree <= u THEN 'median' END AS stratum FROM d, b""",
+)(workload.strata)
+
+
+def _folded(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet").filter("event_type in ('view', 'click')")
+    op = F.when(F.col("event_type") == "view", "add").otherwise("multiply")
+    updates = e.select(F.col("event_id").alias("seq"), (F.col("user_id") + 1 * E).alias("edge_id"), op.alias("op"), F.when(op == "add", F.lit(0.5)).otherwise(F.lit(2.0)).cast("float").alias("operand"))
+    busy = updates.groupBy("edge_id").count().filter("count <= 20").select("edge_id")
+    g = ingest.apply_updates(load(spark, d), updates.join(busy, "edge_id", "left_semi"))
+    return _flat(g.edges.filter("edge_type = 'cust_nation'").select("edge_id", "weight"))
+
+
+QUERIES["updates_folded_in_order"] = _folded
+SQL["updates_folded_in_order"] = f"""WITH u AS (SELECT user_id, list(event_type ORDER BY event_id) AS l FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id HAVING count(*) <= 20)
+SELECT {E} + c_custkey AS edge_id, coalesce(list_reduce(list_transform(l, lambda t: CASE WHEN t = 'view' THEN 0.5::FLOAT ELSE 2.0::FLOAT END), lambda w, x: CASE WHEN x = 0.5::FLOAT THEN (w + x)::FLOAT ELSE (w * x)::FLOAT END, 1.0::FLOAT), 1.0::FLOAT)::DOUBLE AS weight
+FROM customer LEFT JOIN u ON user_id = c_custkey"""
