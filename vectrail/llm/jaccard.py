@@ -5,15 +5,19 @@ with Jaccard similarity of at least t, the prefixes of x and y under ANY global
 prefix of a set of n tokens holds its n - ceil(t n) + 1 first. So a candidate has to share a prefix token under each
 of several orders, and the filters are intersected before the exact check:
 
-* order A: tokens by (frequency, hash), order B: by (frequency, another hash), order C: by hash alone.
+* order A: tokens by (frequency, hash), the SHARE of smallest hashes before all others, so that frequencies are needed
+  (and shuffled) for these only,
+* order B: by (frequency, hash) of all tokens, counted among the documents that order A leaves,
+* order C: by hash alone.
 
-Orders may rank a fixed part of all tokens first. Here that is the SHARE of smallest hashes, so that frequencies are
-needed (and shuffled) for these only. A token that occurs once takes a place in the prefix and yields no candidate, which
-clears most documents. Tokens that are frequent in a bounded sample of documents rank last and skip the count's shuffle.
+A token that occurs once takes a place in the prefix and yields no candidate, which clears most documents; and since
+it can't be shared, the other tokens of both documents must be enough for the similarity. Tokens that are frequent in
+a bounded sample of documents rank last and skip the count's shuffle.
 
 Links are found in rounds: in each, every class is checked against one pivot of its token groups (the most shared), so
-the work is linear in a group of near copies; pairs inside one component need no further check. A last round checks
-all remaining pairs that share prefixes across components, so no link between components is lost.
+the work is linear in a group of near copies; pairs inside one component need no further check. The first pivots have
+the fewest tokens of their own, as the source of a group of copies has. A last round checks all remaining pairs that
+share prefixes across components, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -35,7 +39,11 @@ SHARE = 0.28
 #: Frequent tokens are looked for in at most about so many documents; it tunes the order, not the result.
 SAMPLE_DOCS, FREQUENT = 4000, 40
 ROUNDS = 2
-_LIMIT = np.uint64(int(SHARE * 2**64))
+
+
+def _competing(tokens: np.ndarray, share: float) -> int:
+    """How many of the sorted tokens compete for the prefix: those ranked first, and at least the prefix's number."""
+    return max(int(np.searchsorted(tokens, np.uint64(int(share * 2**64)))) if share < 1 else len(tokens), prefix_size(len(tokens)))
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
@@ -57,28 +65,28 @@ def describe(docs: DataFrame) -> DataFrame:
             sets = shingle_sets(texts, K)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0)[rows], pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_id(s) if len(s) else None for s in sets], pa.int64()),
-                pa.array([max(int(np.searchsorted(s, _LIMIT)), prefix_size(len(s))) if len(s) else 0 for s in sets], pa.int64()),
+                pa.array([_competing(s, SHARE) if len(s) else 0 for s in sets], pa.int64()),
             ], ["doc_id", "n_shingles", "cls", "emitted"])
 
     return _texts(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, cls bigint, emitted bigint")
 
 
-def frequent_tokens(docs: DataFrame, n_docs: int) -> dict[int, int]:
+def frequent_tokens(docs: DataFrame, n_docs: int, share: float) -> dict[int, int]:
     """Tokens of at least FREQUENT documents of a sample of about SAMPLE_DOCS, with their counts; at most
     SAMPLE_DOCS * tokens / FREQUENT entries whatever the size of docs."""
     step = max(1, n_docs // SAMPLE_DOCS)
-    sample = _texts(docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(step)) == 0))
+    sample = _texts(docs).filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(step)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, texts in chunks(batches):
-            tokens, counts = np.unique(np.concatenate([s[: max(int(np.searchsorted(s, _LIMIT)), prefix_size(len(s)))] for s in shingle_sets(texts, K)]), return_counts=True)
+            tokens, counts = np.unique(np.concatenate([s[: _competing(s, share)] for s in shingle_sets(texts, K)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int64))], ["tok", "n"])
 
     counts = sample.mapInArrow(run, "tok bigint, n bigint").groupBy("tok").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
     return {r.tok: r.n for r in counts.orderBy(F.desc("n"), "tok").limit(100_000).collect()}
 
 
-def competing(docs: DataFrame, frequent: dict[int, int]) -> DataFrame:
+def competing(docs: DataFrame, frequent: dict[int, int], share: float) -> DataFrame:
     """(cls, tok, place, known): the tokens of each class that compete for its prefix, with their place by hash
     and, for frequent ones, a known frequency. Equal sets in one chunk are emitted once."""
     spark = docs.sparkSession
@@ -89,7 +97,7 @@ def competing(docs: DataFrame, frequent: dict[int, int]) -> DataFrame:
         for _, _, texts in chunks(batches):
             classes, tokens, places = [], [], []
             for c, s in {_class_id(s): s for s in shingle_sets(texts, K) if len(s)}.items():
-                s = s[: max(int(np.searchsorted(s, _LIMIT)), prefix_size(len(s)))]
+                s = s[: _competing(s, share)]
                 classes.append(np.full(len(s), c, np.int64))
                 tokens.append(s)
                 places.append(np.arange(len(s), dtype=np.int32))
@@ -104,27 +112,36 @@ def competing(docs: DataFrame, frequent: dict[int, int]) -> DataFrame:
     return _texts(docs).mapInArrow(run, "cls bigint, tok bigint, place int, known int")
 
 
-def prefixes(docs: DataFrame, info: DataFrame) -> DataFrame:
-    """cls, doc_id (its smallest), n_shingles, and the prefixes a, b, c under the three orders, without tokens of one
-    class only, of the classes that have any left."""
-    n_docs = info.count()
-    rows = competing(docs, frequent_tokens(docs, n_docs))
+def shared_tokens(docs: DataFrame, n_docs: int, share: float) -> DataFrame:
+    """cls, t: its competing tokens that another class has too, as structs (freq, tok, place)."""
+    rows = competing(docs, frequent_tokens(docs, n_docs, share), share)
     rows = rows.withColumn("key", F.when(F.col("known") > 0, F.xxhash64("cls")).otherwise(F.col("tok"))).repartition("key")
     rows = rows.groupBy("key", "tok", "cls").agg(F.min("place").alias("place"), F.max("known").alias("known"))
     count = F.count("*").over(Window.partitionBy("key"))
     rows = rows.withColumn("freq", F.when(F.col("known") > 0, F.col("known").cast("long") + 2**40).otherwise(count)).filter("freq >= 2")
-    packed = rows.groupBy("cls").agg(F.collect_list(F.struct("freq", "tok", "place")).alias("t"))
+    return rows.groupBy("cls").agg(F.collect_list(F.struct("freq", "tok", "place")).alias("t"))
+
+
+#: prefix_size in SQL.
+_SIZE = f"n_shingles - (({PERCENT} * n_shingles + 99) div 100) + 1"
+
+
+def _rarest(t: str, need: str) -> Column:
+    return F.transform(F.slice(F.array_sort(F.transform(t, lambda x: F.struct(x["freq"], x["tok"].alias("tok")))), F.lit(1), F.col(need).cast("int")), lambda y: y["tok"])
+
+
+def prefixes(docs: DataFrame, info: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(prefixes, sets) of the classes that can have partners: cls, n_shingles, own (tokens of no other class) and the
+    prefixes a, b, c under the three orders, without tokens of one class only; and cls, doc_id, text."""
     classes = info.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("emitted").alias("emitted"))
-    size = F.expr(f"n_shingles - (({PERCENT} * n_shingles + 99) div 100) + 1")
-    p = packed.join(classes, "cls").withColumn("size", size)
+    p = shared_tokens(docs, info.count(), SHARE).join(classes, "cls").withColumn("size", F.expr(_SIZE))
     p = p.withColumn("need", F.col("size") - (F.col("emitted") - F.size("t"))).filter("need > 0")
-    first = lambda x, key: F.transform(F.slice(F.array_sort(F.transform(x, key)), F.lit(1), F.col("need").cast("int")), lambda y: y["tok"])
-    return p.select(
-        "cls", "doc_id", "n_shingles",
-        first("t", lambda x: F.struct(x["freq"], x["tok"].alias("tok"))).alias("a"),
-        first("t", lambda x: F.struct(x["freq"], F.xxhash64(x["tok"]).alias("h"), x["tok"].alias("tok"))).alias("b"),
-        F.transform(F.filter("t", lambda x: x["place"] < F.col("size")), lambda x: x["tok"]).alias("c"),
-    )
+    c = F.transform(F.filter("t", lambda x: x["place"] < F.col("size")), lambda x: x["tok"])
+    p = materialize(p.select("cls", "doc_id", "n_shingles", _rarest("t", "need").alias("a"), c.alias("c")), "prefixes")
+    sets = materialize(_texts(docs).join(p.select("cls", "doc_id"), "doc_id").groupBy("cls", "doc_id").agg(F.first("text").alias("text")), "sets")
+    q = shared_tokens(sets, p.count(), 1.0).join(p, "cls").withColumn("own", F.col("n_shingles") - F.size("t"))
+    q = q.withColumn("need", F.expr(_SIZE) - F.col("own")).filter("need > 0")
+    return materialize(q.select("cls", "n_shingles", "own", "a", _rarest("t", "need").alias("b"), "c"), "prefixes"), sets
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -166,36 +183,39 @@ def components(links: DataFrame) -> DataFrame:
 
 def linked_classes(docs: DataFrame, info: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(labels, links): the components of classes that links join, and the verified links (x, y)."""
-    p = materialize(prefixes(docs, info), "prefixes")
-    ids = p.select("cls", "doc_id")
-    sets = materialize(_texts(docs).join(ids, "doc_id").groupBy("cls").agg(F.first("text").alias("text")), "sets")
-    tokens = p.select("cls", F.explode("a").alias("tok"))
-    filters = p.select("cls", "n_shingles", "b", "c")
-    x = filters.select(F.col("cls").alias("x"), F.col("b").alias("bx"), F.col("c").alias("cx"), F.col("n_shingles").alias("nx"))
-    y = filters.select(F.col("cls").alias("y"), F.col("b").alias("by"), F.col("c").alias("cy"), F.col("n_shingles").alias("ny"))
+    p, sets = prefixes(docs, info)
+    tokens = p.select("cls", "n_shingles", "own", F.explode("b").alias("tok"))
+    filters = p.select("cls", "a", "c")
+    x = filters.select(F.col("cls").alias("x"), F.col("a").alias("ax"), F.col("c").alias("cx"))
+    y = filters.select(F.col("cls").alias("y"), F.col("a").alias("ay"), F.col("c").alias("cy"))
 
     def intersected(pairs: DataFrame) -> DataFrame:
-        """Pairs that also share prefix tokens under the orders B and C, and whose sizes allow the similarity."""
-        q = pairs.join(x, "x").join(y, "y").filter(100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny"))
-        return q.filter(F.arrays_overlap("bx", "by") & F.arrays_overlap("cx", "cy")).drop("bx", "by", "cx", "cy", "nx", "ny")
+        """Pairs that also share prefix tokens under the orders A and C."""
+        q = pairs.join(x, "x").join(y, "y")
+        return q.filter(F.arrays_overlap("ax", "ay") & F.arrays_overlap("cx", "cy")).drop("ax", "ay", "cx", "cy")
+
+    def possible(n: str, own: str, m: str, other: str) -> Column:
+        """Whether the tokens that two classes may share are enough for the similarity."""
+        most = F.least(F.col(n) - F.col(own), F.col(m) - F.col(other))
+        return (100 + PERCENT) * most >= PERCENT * (F.col(n) + F.col(m))
 
     spark = docs.sparkSession
     links = spark.createDataFrame([], "x bigint, y bigint")
     labels = spark.createDataFrame([], "id bigint, comp bigint")
     tested = links
     for r in [*range(ROUNDS), None]:
-        named = tokens.join(labels, tokens.cls == labels.id, "left").select("tok", "cls", F.coalesce("comp", "cls").alias("comp"))
-        if r is None:
-            mixed = named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
-            open_ = named.join(mixed, "tok", "left_semi")
-            other = open_.select("tok", F.col("cls").alias("y"), F.col("comp").alias("other"))
-            pairs = open_.withColumnRenamed("cls", "x").join(other, "tok").filter("x < y and comp <> other").select("x", "y").distinct()
+        named = tokens.join(labels, tokens.cls == labels.id, "left").select("tok", "cls", "n_shingles", "own", F.coalesce("comp", "cls").alias("comp"))
+        first = F.struct(F.col("own") / F.col("n_shingles") if r == 0 else F.lit(0.0), F.xxhash64("cls", F.lit(r or 0)))
+        groups = named.groupBy("tok").agg(F.min_by(F.struct("cls", "comp", "n_shingles", "own"), first).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        groups = groups.filter("lo <> hi").select("tok", "p")
+        outside = named.join(groups, "tok").filter(F.col("comp") != F.col("p.comp"))
+        if r is None:  # all pairs of a token's group across components, one side outside the pivot's
+            one = outside.select("tok", F.col("cls").alias("k"), F.col("comp").alias("kc"), F.col("n_shingles").alias("kn"), F.col("own").alias("ko"))
+            pairs = one.join(named, "tok").filter((F.col("comp") != F.col("kc")) & possible("n_shingles", "own", "kn", "ko"))
+            pairs = pairs.select(F.least("k", "cls").alias("x"), F.greatest("k", "cls").alias("y")).distinct()
             pairs = intersected(pairs.join(tested, ["x", "y"], "left_anti"))
         else:
-            pivot = F.min_by(F.struct("cls", "comp"), F.xxhash64("cls", F.lit(r)))
-            groups = named.groupBy("tok").agg(pivot.alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-            votes = named.join(groups.select("tok", "pivot"), "tok").filter(F.col("comp") != F.col("pivot.comp"))
-            votes = votes.groupBy("cls", F.col("pivot.cls").alias("p")).agg(F.count("*").alias("votes"))
+            votes = outside.filter(possible("n_shingles", "own", "p.n_shingles", "p.own")).groupBy("cls", F.col("p.cls").alias("p")).agg(F.count("*").alias("votes"))
             pairs = intersected(votes.select(F.least("cls", "p").alias("x"), F.greatest("cls", "p").alias("y"), "cls", "votes"))
             if r:
                 pairs = pairs.join(tested, ["x", "y"], "left_anti")
