@@ -17,7 +17,9 @@ a bounded sample of documents rank last and skip the count's shuffle.
 Links are found in rounds: in each, every class is checked against one pivot of its token groups (the most shared), so
 the work is linear in a group of near copies; pairs inside one component need no further check. The first pivots have
 the fewest tokens of their own, as the source of a group of copies has. A last round checks all remaining pairs that
-share prefixes across components, so no link between components is lost.
+share prefixes across components, so no link between components is lost. There, a group of texts that are nearly but not
+quite near enough would give all its pairs; a parity bitmap of each set (every shared token flips one of 256 bits) bounds
+the distance of two sets from below, and pairs that it shows to be too far are never made.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ SHARE = 0.28
 #: Frequent tokens are looked for in at most about so many documents; it tunes the order, not the result.
 SAMPLE_DOCS, FREQUENT = 4000, 40
 ROUNDS = 2
+#: Longs of a parity bitmap, a power of two.
+PARITY = 4
 
 
 def _competing(tokens: np.ndarray, share: float) -> int:
@@ -130,9 +134,21 @@ def _rarest(t: str, need: str) -> Column:
     return F.transform(F.slice(F.array_sort(F.transform(t, lambda x: F.struct(x["freq"], x["tok"].alias("tok")))), F.lit(1), F.col(need).cast("int")), lambda y: y["tok"])
 
 
+def parity(t: str) -> Column:
+    """struct of PARITY longs, in which each token of t flips the bit that its low bits name."""
+    flip = "shiftleft(1L, cast(x.tok & 63 AS int))"
+    return F.struct(*[F.expr(f"aggregate({t}, 0L, (a, x) -> a ^ if(shiftright(x.tok, 6) & {PARITY - 1} = {i}, {flip}, 0L))").alias(f"p{i}") for i in range(PARITY)])
+
+
+def apart(one: str, two: str) -> Column:
+    """At least so many tokens are in one of two sets only, by their parity bitmaps."""
+    return sum((F.bit_count(F.col(f"{one}.p{i}").bitwiseXOR(F.col(f"{two}.p{i}"))) for i in range(PARITY)), F.lit(0))
+
+
 def prefixes(docs: DataFrame, info: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(prefixes, sets) of the classes that can have partners: cls, n_shingles, own (tokens of no other class) and the
-    prefixes a, b, c under the three orders, without tokens of one class only; and cls, doc_id, text."""
+    """(prefixes, sets) of the classes that can have partners: cls, n_shingles, own (tokens of no other class), parity
+    (bitmap of the other tokens) and the prefixes a, b, c under the three orders, without tokens of one class only; and
+    cls, doc_id, text."""
     classes = info.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("emitted").alias("emitted"))
     p = shared_tokens(docs, info.count(), SHARE).join(classes, "cls").withColumn("size", F.expr(_SIZE))
     p = p.withColumn("need", F.col("size") - (F.col("emitted") - F.size("t"))).filter("need > 0")
@@ -141,7 +157,7 @@ def prefixes(docs: DataFrame, info: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = materialize(_texts(docs).join(p.select("cls", "doc_id"), "doc_id").groupBy("cls", "doc_id").agg(F.first("text").alias("text")), "sets")
     q = shared_tokens(sets, p.count(), 1.0).join(p, "cls").withColumn("own", F.col("n_shingles") - F.size("t"))
     q = q.withColumn("need", F.expr(_SIZE) - F.col("own")).filter("need > 0")
-    return materialize(q.select("cls", "n_shingles", "own", "a", _rarest("t", "need").alias("b"), "c"), "prefixes"), sets
+    return materialize(q.select("cls", "n_shingles", "own", parity("t").alias("parity"), "a", _rarest("t", "need").alias("b"), "c"), "prefixes"), sets
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -184,7 +200,6 @@ def components(links: DataFrame) -> DataFrame:
 def linked_classes(docs: DataFrame, info: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(labels, links): the components of classes that links join, and the verified links (x, y)."""
     p, sets = prefixes(docs, info)
-    tokens = p.select("cls", "n_shingles", "own", F.explode("b").alias("tok"))
     filters = p.select("cls", "a", "c")
     x = filters.select(F.col("cls").alias("x"), F.col("a").alias("ax"), F.col("c").alias("cx"))
     y = filters.select(F.col("cls").alias("y"), F.col("a").alias("ay"), F.col("c").alias("cy"))
@@ -199,19 +214,23 @@ def linked_classes(docs: DataFrame, info: DataFrame) -> tuple[DataFrame, DataFra
         most = F.least(F.col(n) - F.col(own), F.col(m) - F.col(other))
         return (100 + PERCENT) * most >= PERCENT * (F.col(n) + F.col(m))
 
+    # the tokens that are not in both: those of one class only, and those that the bitmaps tell apart
+    total = F.col("n_shingles") + F.col("kn")
+    near = (100 + PERCENT) * (total - F.col("own") - F.col("ko") - apart("parity", "kp")) >= 2 * PERCENT * total
     spark = docs.sparkSession
     links = spark.createDataFrame([], "x bigint, y bigint")
     labels = spark.createDataFrame([], "id bigint, comp bigint")
     tested = links
     for r in [*range(ROUNDS), None]:
-        named = tokens.join(labels, tokens.cls == labels.id, "left").select("tok", "cls", "n_shingles", "own", F.coalesce("comp", "cls").alias("comp"))
+        known = ["cls", "n_shingles", "own", *["parity"] * (r is None)]
+        named = p.join(labels, p.cls == labels.id, "left").select(*known, F.coalesce("comp", "cls").alias("comp"), F.explode("b").alias("tok"))
         first = F.struct(F.col("own") / F.col("n_shingles") if r == 0 else F.lit(0.0), F.xxhash64("cls", F.lit(r or 0)))
         groups = named.groupBy("tok").agg(F.min_by(F.struct("cls", "comp", "n_shingles", "own"), first).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         groups = groups.filter("lo <> hi").select("tok", "p")
         outside = named.join(groups, "tok").filter(F.col("comp") != F.col("p.comp"))
         if r is None:  # all pairs of a token's group across components, one side outside the pivot's
-            one = outside.select("tok", F.col("cls").alias("k"), F.col("comp").alias("kc"), F.col("n_shingles").alias("kn"), F.col("own").alias("ko"))
-            pairs = one.join(named, "tok").filter((F.col("comp") != F.col("kc")) & possible("n_shingles", "own", "kn", "ko"))
+            one = outside.select("tok", F.col("cls").alias("k"), F.col("comp").alias("kc"), F.col("n_shingles").alias("kn"), F.col("own").alias("ko"), F.col("parity").alias("kp"))
+            pairs = one.join(named, "tok").filter((F.col("comp") != F.col("kc")) & possible("n_shingles", "own", "kn", "ko") & near)
             pairs = pairs.select(F.least("k", "cls").alias("x"), F.greatest("k", "cls").alias("y")).distinct()
             pairs = intersected(pairs.join(tested, ["x", "y"], "left_anti"))
         else:
