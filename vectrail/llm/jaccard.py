@@ -257,8 +257,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels, _ = linked_classes(docs, info)
     c = info.join(labels, info.cls == labels.id, "left").select("doc_id", "n_shingles", F.coalesce("comp", "cls").alias("comp"))
     c = materialize(c, "classes")
-    least = c.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return c.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # a document alone in its component names it; the others' names are written, so that a component with very many
+    # documents is split where they are joined, or the names are sent to all tasks if few
+    least = c.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return c.join(materialize(least, "names"), "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
