@@ -177,6 +177,37 @@ def test_latent_search_recalls_what_the_full_space_finds(spark):
     assert every and every <= find(full) and len(find(small) & find(full)) >= 0.9 * len(find(full))
 
 
+@pytest.mark.parametrize("rank", [1024, 8])
+def test_search_finds_all_that_the_verdict_accepts(spark, rank):
+    r = random.Random(5)
+    common = ["the", "of", "and", "to", "in", "is"]
+    word = lambda: r.choice(common) if r.random() < 0.4 else "".join(r.choice("abcdefghijklm") for _ in range(5))
+    text = lambda n: [word() for _ in range(n)]
+    items = [text(n) for n in (3, 15, 27, 40, 48, 59, 72, 130)]
+    docs = []
+    for k in range(240):
+        item = list(items[k % len(items)])
+        rare = [i for i, x in enumerate(item) if x not in common]
+        for i in r.sample(rare, min(len(rare), round(r.uniform(0.25, 0.4) * len(item)))):
+            item[i] = word()
+        t = text(r.randint(0, 200))
+        at = r.randrange(len(t) + 1)
+        docs.append(" ".join(t[:at] + item + t[at:]))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id bigint, text string")
+    m = decontam.fit(bench, decontam.inverse_frequencies(frame(spark, docs)), rank=rank)
+    ok = lambda part, answer: part >= decontam.SURE_LCS or part >= decontam.MIN_LCS and answer >= decontam.MIN_ANSWER
+    want = set()
+    for d, t in enumerate(docs):
+        t = t.split()
+        for at in range(0, len(t), decontam.BLOCK):
+            for i, x in enumerate(items):
+                near = t[max(0, at - len(x)) : at + 2 * decontam.BLOCK + len(x)]
+                if ok(decontam.lcs(x, near) / len(x), decontam.lcs(decontam.answer_of(x), near) / len(decontam.answer_of(x))):
+                    want.add((d, i))
+    found = {(d, i) for d, i, _, part, answer in decontam.search(shingles.Words([t.encode() for t in docs], lower=True), m) if ok(part, answer)}
+    assert len(want) > 150 and found == want
+
+
 def test_license_families(spark):
     lines = [("mit", "Released under the MIT License."), ("apache-2.0", "licensed under the APACHE license, version 2.0"), ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
              ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."), ("all-rights-reserved", "All rights reserved."), ("none", "the cat sat on the mat"), ("none", None), ("none", "")]
