@@ -1,5 +1,8 @@
 """Generated graphs and their files, workloads, and streamed updates."""
 
+import inspect
+
+import numpy as np
 import pytest
 from graphs import graph
 
@@ -56,3 +59,15 @@ def test_streamed_updates(spark, tmp_path):
     for bad, kind in (((1, 9, "add", 1.0), errors.EdgeNotFound), ((1, 0, "multiply", float("inf")), errors.InvalidPropertyValue), ((1, 0, "halve", 1.0), errors.InvalidPropertyValue)):
         with pytest.raises(kind):
             ingest.apply_updates(s.graph, spark.createDataFrame([bad], ingest.UPDATE))
+
+
+def test_updates_of_a_hot_edge_are_not_held_in_one_row(spark, tmp_path):
+    s = storage.create(spark, f"file://{tmp_path}/g")
+    s.commit(graph(spark, 2, [(0, 1, "t", 1), (1, 0, "t", 2)]))
+    rows = spark.range(30_000).selectExpr("id as seq", "cast(0 as bigint) as edge_id", "if(id % 3 = 0, 'multiply', 'add') as op", "cast(0.7 as float) as operand")
+    h = ingest.apply_updates(s.graph, rows)
+    assert "collect_list" not in inspect.getsource(ingest)
+    w = np.float32(1)
+    for i in range(30_000):
+        w = w * np.float32(0.7) if i % 3 == 0 else w + np.float32(0.7)
+    assert {r.edge_id: r.weight for r in h.edges.collect()} == {0: float(w), 1: 2.0}

@@ -363,3 +363,16 @@ QUERIES["updates_folded_in_order"] = _folded
 SQL["updates_folded_in_order"] = f"""WITH u AS (SELECT user_id, list(event_type ORDER BY event_id) AS l FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id HAVING count(*) <= 20)
 SELECT {E} + c_custkey AS edge_id, coalesce(list_reduce(list_transform(l, lambda t: CASE WHEN t = 'view' THEN 0.5::FLOAT ELSE 2.0::FLOAT END), lambda w, x: CASE WHEN x = 0.5::FLOAT THEN (w + x)::FLOAT ELSE (w * x)::FLOAT END, 1.0::FLOAT), 1.0::FLOAT)::DOUBLE AS weight
 FROM customer LEFT JOIN u ON user_id = c_custkey"""
+
+
+def _folded_whole(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet").filter("event_type in ('view', 'click')")
+    op = F.when(F.col("event_type") == "view", "add").otherwise("multiply")
+    updates = e.select(F.col("event_id").alias("seq"), (F.col("user_id") + 1 * E).alias("edge_id"), op.alias("op"), F.lit(0.5).cast("float").alias("operand"))  # finite however many
+    return _flat(ingest.apply_updates(load(spark, d), updates).edges.filter("edge_type = 'cust_nation'").select("edge_id", "weight"))
+
+
+QUERIES["updates_folded_whole"] = _folded_whole
+SQL["updates_folded_whole"] = f"""WITH u AS (SELECT user_id, list(event_type ORDER BY event_id) AS l FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id)
+SELECT {E} + c_custkey AS edge_id, coalesce(list_reduce(list_transform(l, lambda t: CASE WHEN t = 'view' THEN 1.0::FLOAT ELSE 2.0::FLOAT END), lambda w, x: CASE WHEN x = 1.0::FLOAT THEN (w + 0.5::FLOAT)::FLOAT ELSE (w * 0.5::FLOAT)::FLOAT END, 1.0::FLOAT), 1.0::FLOAT)::DOUBLE AS weight
+FROM customer LEFT JOIN u ON user_id = c_custkey"""
