@@ -220,6 +220,17 @@ def test_license_families(spark):
     assert licenses.document_licenses(docs.limit(0)).count() == 0
 
 
+def test_licenses_whose_words_ordinary_lines_use(spark):
+    r = random.Random(2)
+    words = [w for texts in licenses.TEMPLATES.values() for t in texts for w in licenses._plain(t)]
+    fill = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    rows = [(i, " ".join(r.sample(fill, 12) + [words[i % len(words)]])) for i in range(600)]
+    lines = ["All rights reserved.", "Released under the MIT License."]
+    rows += [(1000 + i, f"Some words here.\n{t}") for i, t in enumerate(lines)]
+    got = {r.doc_id: r.family for r in licenses.document_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert (got[1000], got[1001]) == ("all-rights-reserved", "mit") and all(got[i] == "none" for i in range(600))
+
+
 EMAIL, IP, CARD, PHONE = (
     re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
 )
