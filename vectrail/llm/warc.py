@@ -24,11 +24,10 @@ DELIMITER = f"{EOL}{VERSION}{EOL}"
 MIN_REVISIT_BYTES = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-SALTS = 32
 
 
-def _urn(kind: str, page_id: Column) -> Column:
-    return F.concat(F.lit(f"<urn:capture:{kind}:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(">"))
+def _urn(kind: str, name: Column) -> Column:
+    return F.concat(F.lit(f"<urn:capture:{kind}:"), name.cast("string"), F.lit(">"))
 
 
 def _record(kind: Column, headers: list[tuple[str, Column]], block: Column) -> Column:
@@ -40,20 +39,18 @@ def _record(kind: Column, headers: list[tuple[str, Column]], block: Column) -> C
 
 
 def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload another page with a larger page_id stores.
+    """(page_id, digest, refers_to) of the payloads that another page with a larger page_id stores.
 
-    Digests are pre-aggregated, only repeated ones are kept, and the way back is salted: a payload that fills a
-    third of the table spreads over SALTS tasks. Rows without page_id never refer to others.
+    Digests are pre-aggregated and only repeated ones are kept. They are written before the join, so the planner sends
+    them to all tasks only below its threshold; beyond, both sides are plain shuffles, and the rows of a payload that
+    fills a third of the table are split at run time. Rows without page_id never refer to others.
     """
     keys = (
         pages.select("page_id", F.coalesce("html", F.lit("")).alias("p")).filter((F.octet_length("p") >= min_bytes) & F.col("page_id").isNotNull())
-        .select("page_id", F.sha1(F.col("p").cast("binary")).alias("digest"), F.octet_length("p").alias("bytes"))
+        .select("page_id", F.sha1(F.col("p").cast("binary")).alias("digest"))
     )
-    groups = keys.groupBy("digest", "bytes").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    keys = keys.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    found = keys.join(groups, ["digest", "bytes", "salt"]).filter("page_id <> refers_to")
-    return found.groupBy("page_id").agg(F.max("refers_to").alias("refers_to"))
+    groups = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return keys.join(materialize(groups, "payloads"), "digest").filter("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def _body(payload: Column, chunked: Column) -> Column:
@@ -66,17 +63,20 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES,
     """Write the captures of pages (page_id, url, html) as archives under path, one per task.
 
     Null html is an empty payload, a null url an empty target; repeated rows give repeated captures with equal
-    record ids; other columns are ignored. The (small) list of revisits is written first, so the planner sends it
-    to all tasks only when its size is under the broadcast threshold and shuffles the pages otherwise.
+    record ids; rows of one page_id with several payloads are each judged by their own payload, and rows without page_id
+    have an id of their own; other columns are ignored. The (small) list of revisits is written first, so the planner
+    sends it to all tasks only when its size is under the broadcast threshold and shuffles the pages otherwise.
     """
-    refs = materialize(revisits(pages, min_bytes), "revisits").select(F.col("page_id").alias("ref_page"), "refers_to")
+    refs = materialize(revisits(pages, min_bytes), "revisits").select(F.col("page_id").alias("ref_page"), F.col("digest").alias("ref_digest"), "refers_to")
     p = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    p = p.join(refs, F.col("page_id") == F.col("ref_page"), "left")
-    payload, page = F.col("html"), F.col("page_id")
+    p = p.withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    p = p.join(refs, (F.col("page_id") == F.col("ref_page")) & (F.col("digest") == F.col("ref_digest")), "left")
+    p = p.withColumn("row", F.monotonically_increasing_id())
+    payload, page, name = F.col("html"), F.col("page_id"), F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("row-"), F.col("row").cast("string")))
     uri = F.regexp_replace("url", "[\\x00-\\x20]", "%20")
     host, target = F.regexp_extract(uri, "^[a-z]+://([^/?#]*)", 1), F.regexp_extract(uri, "^[a-z]+://[^/?#]*([^#]*)", 1)
-    response, revisit = _urn("response", page), F.col("refers_to").isNotNull()
-    digest = F.concat(F.lit("sha1:"), F.sha1(payload.cast("binary")))
+    response, revisit = _urn("response", name), F.col("refers_to").isNotNull()
+    digest = F.concat(F.lit("sha1:"), F.col("digest"))
     chunked = F.concat(F.lit(EOL), payload, F.lit(EOL)).contains(DELIMITER)
     size = F.concat(F.lit("Content-Length: "), F.octet_length(payload).cast("string"))
     http = F.concat(
@@ -88,14 +88,14 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES,
     fields = F.concat(F.lit("page-id: "), F.coalesce(page.cast("string"), F.lit("")), F.lit(EOL))
     common = [("WARC-Target-URI", uri)]
     records = F.array(
-        _record(F.lit("request"), [("WARC-Record-ID", _urn("request", page)), ("WARC-Concurrent-To", response), *common, ("Content-Type", F.lit("application/http; msgtype=request"))], get),
+        _record(F.lit("request"), [("WARC-Record-ID", _urn("request", name)), ("WARC-Concurrent-To", response), *common, ("Content-Type", F.lit("application/http; msgtype=request"))], get),
         _record(
             F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
             [("WARC-Record-ID", response), *common, ("WARC-Payload-Digest", digest), ("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
              ("WARC-Refers-To", F.when(revisit, _urn("response", F.col("refers_to")))), ("Content-Type", F.lit("application/http; msgtype=response"))],
             http,
         ),
-        _record(F.lit("metadata"), [("WARC-Record-ID", _urn("metadata", page)), ("WARC-Concurrent-To", response), *common, ("Content-Type", F.lit("application/warc-fields"))], fields),
+        _record(F.lit("metadata"), [("WARC-Record-ID", _urn("metadata", name)), ("WARC-Concurrent-To", response), *common, ("Content-Type", F.lit("application/warc-fields"))], fields),
     )
     p.select(F.explode(records).alias("value")).write.option("lineSep", EOL).option("compression", compression).text(path)
 
@@ -125,8 +125,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     declared_digest, http_head, declared_bytes, payload (binary, of responses and revisits decoded from HTTP),
     complete. Both plain and gzip archives. Only the columns that are used are computed."""
     raw = spark.read.option("lineSep", DELIMITER).text(path)
-    value = F.regexp_replace("value", f"^{VERSION}\\r\\n", "")
-    r = raw.select(F.when(F.col("value").startswith(VERSION + EOL), value).otherwise(F.col("value")).alias("record"))
+    value = F.col("value").cast("binary")  # cut as bytes: a payload need not be UTF-8
+    r = raw.select(F.when(F.col("value").startswith(VERSION + EOL), F.substr(value, F.lit(len(VERSION + EOL) + 1))).otherwise(value).cast("string").alias("record"))
     r = r.select("record", F.substring_index("record", EOL + EOL, 1).alias("head")).filter(F.col("head").rlike("(?i)(?:^|\\r\\n)WARC-Type:"))
     length = _header(F.col("head"), "Content-Length").cast("int")
     r = r.select("head", F.expr("substring(cast(record as binary), octet_length(head) + 5)").alias("rest"), length.alias("length"))
