@@ -1,11 +1,10 @@
-"""Helpers that the corpus operators share: words, scratch tables, skew-safe joins."""
+"""Helpers that the corpus operators share: words, scratch tables, row ids, distributed prefix sums."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than the six ASCII blanks.
@@ -18,13 +17,13 @@ def words(text: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: spark.checkpoint.dir, or a local one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """Shared folder for intermediate tables: spark.checkpoint.dir, or the folder given to setCheckpointDir. There is no
+    machine-local fallback, since executors could not read it; a session without either is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+        base = base or spark.conf.get("spark.sql.warehouse.dir")  # one process: every task sees its warehouse
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="vectrail-")
-        spark.sparkContext.setCheckpointDir(base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return base.rstrip("/")
 
 
@@ -41,5 +40,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more; only files under the scratch folder."""
+    for df in tables:
+        spark = df.sparkSession
+        base = scratch_dir(spark)
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.toUri().getPath().startswith(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base).toUri().getPath() + "/"):
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """row_id and row (a struct of all columns) of every row, written once: ids stay the same however often it is read,
+    whatever doc_id is (null, repeated), and no column's name can clash."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), name)
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with a column for each of sums: its total over the rows before, in an order of all rows.
+
+    Rows are dealt to ranges of the order and written; each range is summed on its own and offset by the totals of the
+    ranges before (one row per range). No window spans more than a range.
+    """
+    names = {c: f"_own_{c}" for c in sums}
+    keys = [x.alias(f"_key{i}") for i, x in enumerate(order)]
+    d = df.select("*", *keys, *[x.alias(names[c]) for c, x in sums.items()])
+    by = [f"_key{i}" for i in range(len(order))]
+    d = materialize(d.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = d.groupBy("_range").agg(*[F.sum(x).alias(f"_of_{c}") for c, x in names.items()])
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    offsets = totals.select(F.col("_range").alias("_r"), *[F.coalesce(F.sum(f"_of_{c}").over(upto), F.lit(0)).alias(f"_at_{c}") for c in sums])
+    inside = Window.partitionBy("_range").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.select("*", *[F.coalesce(F.sum(x).over(inside), F.lit(0)).alias(f"_in_{c}") for c, x in names.items()])
+    d = d.join(offsets, d["_range"] == offsets["_r"])
+    return d.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(f"_at_{c}") + F.col(f"_in_{c}")).alias(c) for c in sums])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import materialize, running, table, words
 from .sharding import HEX, shuffle_key
 
 #: A source gives at most so many times its size.
@@ -24,51 +24,55 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = M
     Sources in code point order, null last, get the weights in turn and share the total of all sizes. A target
     above cap times the source's size stops there and the excess is shared by weight among the others, until none is
     above. That fixed point is found directly: in order of cap / weight, the stopped sources are the longest prefix
-    that its successors' common level exceeds.
+    that its successors' common level exceeds. Ranks and sums are taken by ranges, so sources may be very many; the
+    driver reads three totals.
     """
-    everything = Window.partitionBy(F.lit(0))
-    w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.pmod(F.row_number().over(everything.orderBy(F.col("_source").asc_nulls_last())) - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = sizes.withColumn("_w", w.cast("long")).withColumn("_cap", F.col("source_size") * cap)
-    order = everything.orderBy((F.col("_cap").cast("double") / F.col("_w")), F.col("_source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    capped = F.coalesce(F.sum("_cap").over(before) - F.col("_cap"), F.lit(0))  # by the sources before this one
-    left = F.sum("_w").over(everything) - (F.sum("_w").over(before) - F.col("_w"))
-    s = s.withColumn("_total", F.sum("source_size").over(everything)).withColumn("_capped", capped).withColumn("_left", left)
-    # the level if this source and all after it stay below their caps
-    s = s.withColumn("_rest", F.col("_total") - F.col("_capped")).withColumn("_stops", F.col("_rest").cast("decimal(19,0)") * F.col("_w") > F.col("_cap").cast("decimal(19,0)") * F.col("_left"))
-    free = ~F.col("_stops")
-    first = F.min(F.when(free, F.struct(F.col("_capped"), F.col("_rest"), F.col("_left")))).over(everything)
-    s = s.withColumn("_level", first)
-    target = F.when(F.col("_stops"), F.col("_cap").cast("double")).otherwise(F.col("_level._rest").cast("double") * F.col("_w") / F.col("_level._left"))
-    return s.select("_source", "source_size", target.alias("target"))
+    s = running(sizes, [F.col("_source").isNull(), F.col("_source")], {"_rank": F.lit(1)})
+    w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.pmod(F.col("_rank"), F.lit(len(weights))) + 1).cast("int"))
+    s = s.withColumn("_w", w.cast("long")).withColumn("_cap", F.col("source_size") * cap)
+    order = [F.col("_cap").cast("double") / F.col("_w"), F.col("_rank")]
+    s = materialize(running(s, order, {"_capped": F.col("_cap"), "_before": F.col("_w")}), "targets")
+    all_ = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("_w"), F.lit(0)).alias("w")).first()
+    # what is left to share, and among what weight, if this source and all after it stay below their caps
+    s = s.withColumn("_rest", F.lit(all_.size) - F.col("_capped")).withColumn("_left", F.lit(all_.w) - F.col("_before"))
+    wide = "decimal(19,0)"
+    s = s.withColumn("_stops", F.col("_rest").cast(wide) * F.col("_w").cast(wide) > F.col("_cap").cast(wide) * F.col("_left").cast(wide))
+    level = s.filter(~F.col("_stops")).agg(F.min(F.struct("_capped", "_rest", "_left")).alias("m")).first().m
+    shared = F.lit(0.0) if level is None else F.lit(float(level._rest)) * F.col("_w") / F.lit(level._left)
+    return s.select("_source", "source_size", F.when(F.col("_stops"), F.col("_cap").cast("double")).otherwise(shared).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = MAX_EPOCHS, seed: int = 23) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies of every row of docs (doc_id, text, source).
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = MAX_EPOCHS, seed: int = 23, carry: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, copies of every row of docs (doc_id, text, source), and with
+    carry the row itself as a struct ``row`` of all its columns, so that nothing has to be joined back by an id.
 
     size is the number of words (null text: 0), taken the words that the mix takes, repeats counted; a source's taken
     sum to the floor of its target. copies counts whole documents for pipelines: the full rounds, and one more for
-    documents that start before the cut. Rows that agree in doc_id and size may be ordered either way, with equal sums; an empty
-    table gives an empty result; sources without words have target 0.
+    documents that start before the cut. Rows that agree in doc_id and size may be ordered either way, with equal sums;
+    rows without doc_id are ordered by their text; very long texts are only counted, in place. An empty table gives an
+    empty result; sources without words have target 0.
     """
-    base = docs.select("doc_id", F.col("source").alias("_source"), F.size(words(F.col("text"))).cast("long").alias("size"), shuffle_key(seed, F.col("doc_id")).alias("_key"))
-    base = base.withColumn("_range", F.substring("_key", 1, HEX))
-    sums = base.groupBy("_source", "_range").agg(F.sum("size").alias("_sum"))
-    t = targets(sums.groupBy("_source").agg(F.sum("_sum").alias("source_size")), weights, cap)
-    upto = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = sums.select(F.col("_source").alias("_s"), F.col("_range").alias("_r"), (F.sum("_sum").over(upto) - F.col("_sum")).alias("_before"))
-    inside = Window.partitionBy("_source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    own = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # null is a source of its own
+    base = docs.select(
+        "doc_id", own.alias("_name"), F.col("source").alias("_source"), F.size(words(F.col("text"))).cast("long").alias("size"), shuffle_key(seed, F.col("doc_id"), F.col("text")).alias("_key"), *whole
+    )
+    base = materialize(base.withColumn("_range", F.substring("_key", 1, HEX)), "sizes")
+    sums = materialize(base.groupBy("_name", "_source", "_range").agg(F.sum("size").alias("_sum")), "sums")
+    t = targets(sums.groupBy("_source").agg(F.sum("_sum").alias("source_size")), weights, cap).withColumn("_t", F.coalesce(F.concat(F.lit("="), "_source"), F.lit(""))).drop("_source")
+    upto = Window.partitionBy("_name").orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of 16 ** HEX rows
+    sums = sums.withColumn("_before", F.sum("_sum").over(upto) - F.col("_sum"))
+    sums = sums.join(t, F.col("_name") == F.col("_t")).select(F.col("_name").alias("_s"), F.col("_range").alias("_r"), "_before", "source_size", "target")
+    inside = Window.partitionBy("_name", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     b = base.withColumn("_start", F.sum("size").over(inside) - F.col("size"))
-    b = b.join(sums, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
-    t = t.withColumnRenamed("_source", "_t")
-    b = b.join(t, F.col("_source").eqNullSafe(F.col("_t"))).withColumn("_start", F.col("_start") + F.col("_before"))
+    b = b.join(sums, (F.col("_name") == F.col("_s")) & (F.col("_range") == F.col("_r"))).withColumn("_start", F.col("_start") + F.col("_before"))
     b = b.withColumn("_budget", F.floor("target").cast("long"))
     b = b.withColumn("_rounds", F.when(F.col("source_size") > 0, F.expr("_budget div source_size")).otherwise(F.lit(0)))
     b = b.withColumn("_rest", F.col("_budget") - F.col("_rounds") * F.col("source_size"))
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_start")))
     return b.select(
         "doc_id", F.col("_source").alias("source"), "size", "source_size", "target", (F.col("_rounds") * F.col("size") + last).cast("long").alias("taken"),
-        (F.col("_rounds") + (last > 0).cast("int")).cast("int").alias("copies"),
+        (F.col("_rounds") + (last > 0).cast("int")).cast("int").alias("copies"), *(["row"] if carry else []),
     )
 
 
@@ -78,7 +82,7 @@ def op9_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH RECURSIVE d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))::BIGINT AS size,
-  md5('23:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
+  md5('23:' || coalesce(doc_id::VARCHAR, 'null' || md5(coalesce(text, '')))) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::BIGINT AS w FROM d GROUP BY source),
 rounds(n, capped, changed) AS (
   SELECT 0, []::BIGINT[], true

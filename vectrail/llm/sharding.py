@@ -1,8 +1,8 @@
 """Proportional stratified interleaving: seeded shuffle within each source, order by fractional rank, cut evenly.
 
-A row's fractional rank is (2 * rank + 1) / (2 * rows of its source) for its rank in its source's shuffled order, so
-any contiguous piece of the order holds every source in its share, and the cut into equal pieces gives each shard
-the mixture. Ranks come from counts: rows are dealt to BUCKETS ranges of their shuffle key (a hash, so even a
+A row's fractional rank is (rank + u) / rows of its source for its rank in its source's shuffled order and a seeded
+offset u of the source in [0, 1), so any contiguous piece of the order holds every source in its share, the many sources
+of one row or a few spread over the whole order, and the cut into equal pieces gives each shard the mixture. Ranks come from counts: rows are dealt to BUCKETS ranges of their shuffle key (a hash, so even a
 source that holds a third of all rows spreads evenly), ranked inside their bucket, and offset by the counts of the
 buckets before it. No window over rows spans a source or the table.
 """
@@ -19,8 +19,15 @@ HEX = 3
 BUCKETS = 16**HEX
 
 
-def shuffle_key(seed: int, doc_id: Column) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def shuffle_key(seed: int, doc_id: Column, text: Column) -> Column:
+    """A hash of the doc_id, or of the text for rows without one, which would all share one key otherwise."""
+    other = F.concat(F.lit("null"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), other)))
+
+
+def offset(seed: int, source: Column) -> Column:
+    """A seeded number in [0, 1) of a source."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), source)), 1, 8), 16, 10).cast("double") / 2**32
 
 
 def _offsets(df: DataFrame, keys: list[str], bucket: str) -> DataFrame:
@@ -36,18 +43,18 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
 
     Counts of the shards differ by at most one (law "rows"), slots run from 0 without gaps. Null text has size 1
     and checksum 0; null source is a source of its own; rows that agree in doc_id and text are ranked next to each
-    other, in either order; null doc_ids share one key. An empty table gives an empty result.
+    other, in either order; rows without doc_id are dealt by their text. Texts of any length are only measured, in place. An empty table gives an empty result.
     """
     base = docs.select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"), shuffle_key(seed, F.col("doc_id")).alias("_key"),
+        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"), shuffle_key(seed, F.col("doc_id"), F.col("text")).alias("_key"),
     ).withColumn("_bucket", F.substring("_key", 1, HEX))
     per = _offsets(base, ["_source"], "_bucket")
     inside = Window.partitionBy("_source", "_bucket").orderBy("_key", "doc_id", "text_crc32", "size")
     ranked = base.withColumn("_rank", F.row_number().over(inside) - 1).join(per, ["_source", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).withColumnRenamed("_total", "_of").drop("_before")
-    ranked = ranked.withColumn("_fraction", (2 * F.col("_rank") + 1).cast("double") / (2 * F.col("_of")).cast("double"))
+    ranked = ranked.withColumn("_fraction", (F.col("_rank") + offset(seed, F.col("_source"))) / F.col("_of"))
     ranked = ranked.withColumn("_slice", F.floor(F.col("_fraction") * BUCKETS))
     whole = _offsets(ranked.withColumn("_all", F.lit(0)), ["_all"], "_slice").drop("_all")
     order = Window.partitionBy("_slice").orderBy("_fraction", "_source", "_rank")
@@ -70,9 +77,9 @@ CRC_SQL = """crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(
 OP2_SQL = f"""
 WITH {CRC_SQL},
 d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT + 1 AS size, coalesce('=' || source, '') AS s,
-  md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS k, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+  md5('17:' || coalesce(doc_id::VARCHAR, 'null' || md5(coalesce(text, '')))) AS k, hex(encode(coalesce(text, ''))) AS hx FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY k, doc_id) - 1 AS rk, count(*) OVER (PARTITION BY s) AS n FROM d),
-f AS (SELECT *, (2 * rk + 1)::DOUBLE / (2 * n)::DOUBLE AS fr FROM r),
+f AS (SELECT *, (rk + ('0x' || substr(md5('17:' || s), 1, 8))::UBIGINT::DOUBLE / 4294967296) / n AS fr FROM r),
 g AS (SELECT *, row_number() OVER (ORDER BY fr, s, rk) - 1 AS pos, count(*) OVER () AS total FROM f),
 h AS (SELECT *, (pos * 8) // total AS sh FROM g)
 SELECT doc_id, size, xor(list_reduce(list_transform(regexp_extract_all(hx, '..'),
