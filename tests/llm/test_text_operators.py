@@ -45,7 +45,7 @@ def odd_docs(spark, extra=()):
 
 def test_warc_round_trip(spark):
     big = "é" * 600
-    rows = [(i, f"http://h.example/{i}?q=1", t) for i, t in enumerate(ODD)] + [(100, None, big), (101, "http://h/", big), (102, "x y", big), (None, "u", big), (5, "http://h.example/5?q=1", ODD[5])]
+    rows = [(i, f"http://h.example/{i}?q=1", t) for i, t in enumerate(ODD)] + [(100, "second row of a page", "z" * 1500), (None, None, None), (100, None, big), (101, "http://h/", big), (102, "x y", big), (None, "u", big), (5, "http://h.example/5?q=1", ODD[5])]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("salt", F.lit(1)).withColumn("digest", F.lit("x"))
     got = Counter(tuple(r) for r in warc.round_trip(pages).collect())
     want = Counter()
@@ -94,6 +94,12 @@ def test_every_shard_has_the_mixture(spark):
     assert all(abs(share[s, k] - n / 8) <= 2 for k, n in whole.items() for s in range(8))
 
 
+def test_sources_of_one_row_spread_over_all_shards(spark):
+    d = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.when(F.col("id") < 2000, "hot").otherwise(F.concat(F.lit("s"), F.col("id"))).alias("source"))
+    n = Counter(r.shard for r in sharding.interleave(d, 8).filter("doc_id >= 2000").collect())
+    assert sum(n.values()) == 2000 and all(abs(n[s] - 250) < 60 for s in range(8))
+
+
 def measure(text):
     words = re.findall("[^ \t-\r]+", text)
     windows = Counter(zip(words, words[1:], words[2:], strict=False))
@@ -141,6 +147,13 @@ def test_chat_round_trips_whatever_is_said(spark):
     for r in got:
         assert [tuple(x) for x in r.recovered] == [x[1:] for x in sorted(source[r.conv_id])], r.formatted
         assert r.formatted.startswith(f"[CHAT esc={r.level}]\n")
+        said = [x.text for x in r.recovered if x.role == "assistant"]
+        cut = [r.formatted[m.start : m.end] for m in r["mask"]]
+        assert len(cut) == len(said) and (r.level > 0 or cut == said)
+        assert all(r.formatted[m.start - 3 : m.start] == "<s>" and r.formatted[m.end : m.end + 4] == "</s>" for m in r["mask"])
+    for r in chat.digest(turns(spark, rows)).collect():
+        said = "".join(x[2] for x in sorted(source[r.conv_id]) if x[1] == "assistant")
+        assert (r.loss_chars, r.loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
     assert {r.level for r in got} == {0, 1, 2} and chat.digest(turns(spark, rows).limit(0)).count() == 0
 
 

@@ -67,8 +67,10 @@ def render(turns: Column, level: int) -> Column:
 
 
 def parse(formatted: Column, level: int) -> Column:
-    """The (role, text) structs that the grammar reads from a formatted text; null if it doesn't read all of it."""
-    body = F.substr(formatted, F.lit(len(HEADER.format(level)) + 1))
+    """What the grammar reads from a formatted text, null if it doesn't read all of it: ``turns`` of (role, text), and
+    ``mask``, the loss mask, (start, end) in code points of each assistant turn's escaped text."""
+    head = len(HEADER.format(level))
+    body = F.substr(formatted, F.lit(head + 1))
     opens, texts, closes = (F.regexp_extract_all(body, F.lit(TURN), F.lit(i)) for i in (1, 2, 3))
 
     def one(z):
@@ -79,17 +81,30 @@ def parse(formatted: Column, level: int) -> Column:
             right = F.when(z["o"] == a, z["c"] == b).otherwise(right)
         return F.struct(F.when(right, role).alias("role"), unescape(z["t"], level).alias("text"))
 
+    def further(a, z):
+        at = a["at"] + F.length(z["o"])
+        end = (at + F.length(z["t"])).cast("int")
+        span = F.array(F.struct(at.cast("int").alias("start"), end.alias("end")))
+        return F.struct((end + F.length(z["c"])).cast("int").alias("at"), F.when(z["o"] == MARKS["assistant"][0], F.concat(a["mask"], span)).otherwise(a["mask"]).alias("mask"))
+
     pieces = F.arrays_zip(opens.alias("o"), texts.alias("t"), closes.alias("c"))
-    read = F.aggregate(pieces, F.lit(0), lambda a, z: a + F.length(z["o"]) + F.length(z["t"]) + F.length(z["c"]))
-    return F.when(read == F.length(body), F.transform(pieces, one))
+    none = F.struct(F.lit(head).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("mask"))
+
+    def judged(p):
+        read = F.aggregate(p, none, further)
+        return F.get(F.transform(F.array(read), lambda r: F.when(r["at"] == F.length(formatted), F.struct(F.transform(p, one).alias("turns"), r["mask"].alias("mask")))), F.lit(0))
+
+    return F.get(F.transform(F.array(pieces), judged), F.lit(0))
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """conv_id, level, formatted and recovered (role, text) turns of each conversation (conv_id, turn, role, text).
+    """conv_id, level, formatted, recovered (role, text) turns and the loss mask (start, end in code points of
+    ``formatted``) of each conversation (conv_id, turn, role, text).
 
     Rows are ordered by turn (null first), then role and text, so ties have one order; null role and text are empty;
     rows with null conv_id form one conversation; repeated rows are repeated turns. ``recovered`` is read back from
-    ``formatted`` and equals the source at the level that was kept.
+    ``formatted`` and equals the source at the level that was kept. Very long texts and conversations are one row each;
+    an empty table gives an empty result, and other columns are ignored.
     """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     c = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-(2**63))).alias("turn"), "role", "text"))).alias("t"))
@@ -99,21 +114,30 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
         """struct(level, formatted, recovered) of the first level from here on that reads back identically."""
         def judge(f):
             def kept(r):
-                this = F.struct(F.lit(level).alias("level"), f.alias("formatted"), r.alias("recovered"))
-                return this if level == LEVELS - 1 else F.when(r == F.col("source"), this).otherwise(attempt(level + 1))
+                this = F.struct(F.lit(level).alias("level"), f.alias("formatted"), r["turns"].alias("recovered"), r["mask"].alias("mask"))
+                return this if level == LEVELS - 1 else F.when(r["turns"] == F.col("source"), this).otherwise(attempt(level + 1))
 
             return F.get(F.transform(F.array(parse(f, level)), kept), F.lit(0))
 
         return F.get(F.transform(F.array(render(F.col("source"), level)), judge), F.lit(0))
 
-    return c.withColumn("best", attempt(0)).select("conv_id", "best.level", "best.formatted", "best.recovered")
+    return c.withColumn("best", attempt(0)).select("conv_id", "best.level", "best.formatted", "best.recovered", "best.mask")
+
+
+def under_mask(formatted: Column, mask: Column, level: Column) -> Column:
+    """The text under a loss mask: its spans cut out of the formatted text, each unescaped by its level."""
+    cut = F.transform(mask, lambda m: F.substr(formatted, m["start"] + 1, m["end"] - m["start"]))
+    plain = lambda k: F.transform(cut, lambda x: unescape(x, k))
+    said = plain(LEVELS - 1)
+    for k in range(LEVELS - 1):
+        said = F.when(level == k, plain(k)).otherwise(said)
+    return F.array_join(said, "")
 
 
 def digest(conversations: DataFrame) -> DataFrame:
-    """Per conversation the digests of what its formatted text reads back as."""
+    """Per conversation the digests of what its formatted text reads back as, and of what its loss mask covers."""
     f = format_conversations(conversations)
-    said = F.array_join(F.transform(F.filter("recovered", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    f = f.withColumns({"_said": said, "_all": F.array_join(F.transform("recovered", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")})
+    f = f.withColumns({"_said": under_mask(F.col("formatted"), F.col("mask"), F.col("level")), "_all": F.array_join(F.transform("recovered", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")})
     return f.select(
         "conv_id", F.size("recovered").cast("long").alias("n_turns"), F.sha2("_all", 256).alias("turns_sha256"),
         F.length("_said").cast("long").alias("loss_chars"), F.sha2("_said", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
