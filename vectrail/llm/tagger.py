@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
 #: Tags: 0 outside, 1 + 2 k the first character of kind k, 2 + 2 k a further one.
 TAGS = 1 + 2 * len(KINDS)
 CHARS = 98
-EMBED, HIDDEN = 12, 20
+EMBED, HIDDEN = 12, 24
 
 
 def encode(text: str) -> np.ndarray:
