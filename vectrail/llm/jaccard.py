@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, numbered, table
 from .shingles import chunks, shingle_sets
 
 K, PERCENT = 5, 80
@@ -41,6 +41,8 @@ SHARE = 0.28
 #: Frequent tokens are looked for in at most about so many documents; it tunes the order, not the result.
 SAMPLE_DOCS, FREQUENT = 4000, 40
 ROUNDS = 2
+#: Classes of a token's group that meet in one block of the last round.
+GROUP = 2000
 #: Longs of a parity bitmap, a power of two.
 PARITY = 4
 
@@ -145,6 +147,24 @@ def apart(one: str, two: str) -> Column:
     return sum((F.bit_count(F.col(f"{one}.p{i}").bitwiseXOR(F.col(f"{two}.p{i}"))) for i in range(PARITY)), F.lit(0))
 
 
+def class_texts(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """(cls, doc_id, text): one text of each class of named (cls, doc_id), found by its doc_id and then by its set, since
+    rows may share a doc_id or have none."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls = batch.column(0).to_pylist()
+            for at in range(0, len(cls), 256):
+                part = batch.slice(at, 256)
+                own = [_class_id(s) if len(s) else None for s in shingle_sets([t or b"" for t in part.column(2).to_pylist()], K)]
+                yield part.filter(pa.array([c is None or c == o for c, o in zip(cls[at : at + 256], own, strict=True)])).set_column(0, "cls", pa.array([o for c, o in zip(cls[at : at + 256], own, strict=True) if c is None or c == o], pa.int64()))
+
+    schema, t = "cls bigint, doc_id bigint, text binary", _texts(docs)
+    by_id = t.join(named.filter("doc_id is not null"), "doc_id").select("cls", "doc_id", "text").mapInArrow(run, schema)
+    nameless = t.filter("doc_id is null").select(F.lit(None).cast("bigint").alias("cls"), F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+    nameless = nameless.dropDuplicates(["cls"]).join(named.filter("doc_id is null").select("cls"), "cls", "left_semi")
+    return by_id.dropDuplicates(["cls"]).unionByName(nameless)
+
+
 def prefixes(docs: DataFrame, info: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(prefixes, sets) of the classes that can have partners: cls, n_shingles, own (tokens of no other class), parity
     (bitmap of the other tokens) and the prefixes a, b, c under the three orders, without tokens of one class only; and
@@ -154,7 +174,7 @@ def prefixes(docs: DataFrame, info: DataFrame) -> tuple[DataFrame, DataFrame]:
     p = p.withColumn("need", F.col("size") - (F.col("emitted") - F.size("t"))).filter("need > 0")
     c = F.transform(F.filter("t", lambda x: x["place"] < F.col("size")), lambda x: x["tok"])
     p = materialize(p.select("cls", "doc_id", "n_shingles", _rarest("t", "need").alias("a"), c.alias("c")), "prefixes")
-    sets = materialize(_texts(docs).join(p.select("cls", "doc_id"), "doc_id").groupBy("cls", "doc_id").agg(F.first("text").alias("text")), "sets")
+    sets = materialize(class_texts(docs, p.select("cls", "doc_id")), "sets")
     q = shared_tokens(sets, p.count(), 1.0).join(p, "cls").withColumn("own", F.col("n_shingles") - F.size("t"))
     q = q.withColumn("need", F.expr(_SIZE) - F.col("own")).filter("need > 0")
     return materialize(q.select("cls", "n_shingles", "own", parity("t").alias("parity"), "a", _rarest("t", "need").alias("b"), "c"), "prefixes"), sets
@@ -225,12 +245,15 @@ def linked_classes(docs: DataFrame, info: DataFrame) -> tuple[DataFrame, DataFra
         known = ["cls", "n_shingles", "own", *["parity"] * (r is None)]
         named = p.join(labels, p.cls == labels.id, "left").select(*known, F.coalesce("comp", "cls").alias("comp"), F.explode("b").alias("tok"))
         first = F.struct(F.col("own") / F.col("n_shingles") if r == 0 else F.lit(0.0), F.xxhash64("cls", F.lit(r or 0)))
-        groups = named.groupBy("tok").agg(F.min_by(F.struct("cls", "comp", "n_shingles", "own"), first).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        groups = groups.filter("lo <> hi").select("tok", "p")
+        groups = named.groupBy("tok").agg(F.min_by(F.struct("cls", "comp", "n_shingles", "own"), first).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
+        # written, so that the join is of plain shuffles (or a broadcast), whose hot tokens are split at run time
+        groups = materialize(groups.filter("lo <> hi").select("tok", "p", F.expr(f"cast((n + {GROUP - 1}) div {GROUP} as int)").alias("blocks")), "groups")
         outside = named.join(groups, "tok").filter(F.col("comp") != F.col("p.comp"))
         if r is None:  # all pairs of a token's group across components, one side outside the pivot's
-            one = outside.select("tok", F.col("cls").alias("k"), F.col("comp").alias("kc"), F.col("n_shingles").alias("kn"), F.col("own").alias("ko"), F.col("parity").alias("kp"))
-            pairs = one.join(named, "tok").filter((F.col("comp") != F.col("kc")) & possible("n_shingles", "own", "kn", "ko") & near)
+            # a large group is cut into blocks of about GROUP classes, each of which meets all classes outside
+            one = outside.select("tok", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("cls").alias("k"), F.col("comp").alias("kc"), F.col("n_shingles").alias("kn"), F.col("own").alias("ko"), F.col("parity").alias("kp"))
+            dealt = named.join(groups.select("tok", "blocks"), "tok").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(9)), F.col("blocks")).cast("int"))
+            pairs = one.join(dealt, ["tok", "block"]).filter((F.col("comp") != F.col("kc")) & possible("n_shingles", "own", "kn", "ko") & near)
             pairs = pairs.select(F.least("k", "cls").alias("x"), F.greatest("k", "cls").alias("y")).distinct()
             pairs = intersected(pairs.join(tested, ["x", "y"], "left_anti"))
         else:
@@ -263,6 +286,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return c.join(materialize(least, "names"), "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) with one row of each component: of the smallest doc_id, rows without one last, then by row.
+
+    Rows are told apart by a number of their own, so null and repeated doc_ids lose nothing and keep no copies. Rows
+    without shingles are components of their own and all stay. All columns pass through; an empty table stays empty.
+    """
+    rows = numbered(docs, "rows")
+    near = materialize(near_duplicates(rows.select(F.col("row_id").alias("doc_id"), F.col("row.text").alias("text"))), "near")
+    groups = near.filter("doc_id <> component_id").select("component_id").distinct()
+    ids = rows.select("row_id", F.col("row.doc_id").alias("name"))
+    some = near.join(materialize(groups, "groups"), "component_id", "left_semi").join(ids, F.col("doc_id") == F.col("row_id"))
+    first = some.groupBy("component_id").agg(F.min(F.struct(F.col("name").isNull(), F.col("name"), F.col("row_id"))).alias("m")).select(F.col("m.row_id").alias("kept"))
+    gone = materialize(some.select("row_id").join(materialize(first, "kept"), F.col("row_id") == F.col("kept"), "left_anti"), "gone")
+    out = rows.join(gone, "row_id", "left_anti").select("row.*")
+    return out
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
