@@ -1,5 +1,6 @@
 """Decontamination, licenses, personal data, repeated spans, near duplicates and the pipeline."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -312,6 +313,39 @@ def test_licenses_whose_words_ordinary_lines_use(spark):
     assert (got[1000], got[1001]) == ("all-rights-reserved", "mit") and all(got[i] == "none" for i in range(600))
 
 
+def test_license_bound_keeps_the_precision():
+    z = lambda p: [math.log(1 - p), math.log(p)]
+    held = [(1, z(0.999), {1})] * 50 + [(1, z(0.95), {1})] * 300 + [(0, z(0.93), {1})] * 9 + [(0, z(0.999), set())] * 9 + [(1, z(0.9), {1})] * 50 + [(0, [0.0, -9.0], {1})] * 300
+    t, bound = licenses.calibrate(held)
+    assert bound == pytest.approx(licenses._calibrated(z(0.95), t)[1]) and bound > 0.5
+    assert licenses.calibrate([(0, z(0.9), {1})] * 5)[1] == 1.0
+
+
+def test_wrapped_and_commented_notices(spark):
+    import textwrap
+
+    cases = [(f, t) for f in ("mit", "gpl-3.0", "bsd", "apache-2.0", "lgpl", "agpl-3.0", "isc", "cc-by-sa-4.0") for t in licenses.TEMPLATES[f] if len(t) > 80]
+    docs = []
+    for i, (_, t) in enumerate(cases):
+        lines = textwrap.wrap(t, 60)
+        mark = ["", "# ", "// ", " * ", "-- "][i % 5]
+        docs.append("Some code of ours.\n\n" + "\n".join(mark + x for x in lines) + "\n\nint main() is here")
+    fill = [" ".join(random.Random(i).choices(["one", "two", "tree", "house", "the", "of", "code", "all", "free", "use", "copy", "is", "this"], k=25)) + "." for i in range(300)]
+    rows = list(enumerate(docs)) + [(1000 + i, t) for i, t in enumerate(fill)] + [(None, docs[0]), (5000, None)]
+    got = {r.doc_id: r.family for r in licenses.document_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    wrong = [(f, got[i], docs[i]) for i, (f, _) in enumerate(cases) if got[i] != f]
+    assert not wrong and all(got[1000 + i] == "none" for i in range(300)) and got[None] == cases[0][0] and got[5000] == "none"
+
+
+def test_license_scan_against_all_units(spark):
+    """What reaches the classifier: every unit of every document that resembles a template, by sets in Python."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    templates = {t: set(licenses._plain(t)) for ts in licenses.TEMPLATES.values() for t in ts}
+    want = {r.doc_id for r in docs.collect() for line in re.split(r"\n+|(?<=[.!?]) +(?=[A-ZÀ-Þ])", r.text or "") if any(len(set(licenses._plain(line)) & x) >= licenses.MIN_RESEMBLANCE * len(x) for x in templates.values())}
+    got = {r.doc_id for r in licenses.document_licenses(docs).filter("family <> 'none'").collect()}
+    assert want and got == want
+
+
 EMAIL, IP, CARD, PHONE = (
     re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
 )
