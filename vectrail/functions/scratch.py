@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import Storage
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the context's checkpoint folder, or where both are unset a local one."""
+    """spark.checkpoint.dir, or the context's checkpoint folder. In local mode, where all tasks are in one process, the
+    warehouse's folder serves where both are unset; on a cluster that is an error, as a local folder would not be shared."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    master = spark.sparkContext.master
+    if not base and (master == "local" or master.startswith("local[")):
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="vectrail-")
-        spark.sparkContext.setCheckpointDir(base)
+        raise Storage("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return base.rstrip("/")
 
 

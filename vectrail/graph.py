@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,18 @@ NODES = f"node_id bigint, node_type string, type_id int, props {PROPS}, embeddin
 EDGES = f"edge_id bigint, src bigint, dst bigint, edge_type string, etype_id int, weight float, props {PROPS}"
 
 
+@dataclass(frozen=True)
+class Lookup:
+    """How a graph whose ids are computed from key columns reads only the rows of some ids: functions of the ids, valid for
+    exactly these DataFrames, so changed graphs don't use them."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    nodes_with: Callable[[Sequence[int]], DataFrame]
+    edges_with: Callable[[Sequence[int]], DataFrame]
+    edges_at: Callable[[Sequence[int], str], DataFrame]
+
+
 @dataclass(frozen=True)
 class PropertyGraph:
     """A typed property graph. ``node_types`` maps labels to (id, embedding dimension or None), in the order of
@@ -28,6 +41,7 @@ class PropertyGraph:
     next_node_id: int = 0
     next_edge_id: int = 0
     pending: tuple = ()
+    lookup: Lookup | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -62,9 +76,26 @@ class PropertyGraph:
             return self
         return replace(self, node_types=self.node_types | {label: (len(self.node_types), dim)}, pending=(*self.pending, ("register_node_type", label)))
 
+    def nodes_with(self, ids: Sequence[int]) -> DataFrame:
+        """The nodes of some ids: a comparison of key columns that reaches the scan."""
+        if self.lookup is not None and self.lookup.nodes is self.nodes:
+            return self.lookup.nodes_with(ids)
+        return self.nodes.filter(F.col("node_id").isin(*ids))
+
+    def edges_with(self, ids: Sequence[int]) -> DataFrame:
+        if self.lookup is not None and self.lookup.edges is self.edges:
+            return self.lookup.edges_with(ids)
+        return self.edges.filter(F.col("edge_id").isin(*ids))
+
+    def edges_at(self, ids: Sequence[int], end: str) -> DataFrame:
+        """The edges whose end, "src" or "dst", is one of some nodes."""
+        if self.lookup is not None and self.lookup.edges is self.edges:
+            return self.lookup.edges_at(ids, end)
+        return self.edges.filter(F.col(end).isin(*ids))
+
     def need_nodes(self, *ids: int) -> None:
         """Raise NodeNotFound for the first id that has no node; one pushed-down lookup."""
-        found = {r.node_id for r in self.nodes.filter(F.col("node_id").isin(*ids)).select("node_id").collect()}
+        found = {r.node_id for r in self.nodes_with(ids).select("node_id").collect()}
         for i in ids:
             if i not in found:
                 raise NodeNotFound(str(i))

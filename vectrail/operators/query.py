@@ -46,15 +46,17 @@ class EdgeFilter:
 
 def node(g: PropertyGraph, node_id: int) -> DataFrame:
     """The node with an id: one row or none."""
-    return g.nodes.filter(F.col("node_id") == node_id)
+    return g.nodes_with([node_id])
 
 
 def edge(g: PropertyGraph, edge_id: int) -> DataFrame:
-    return g.edges.filter(F.col("edge_id") == edge_id)
+    return g.edges_with([edge_id])
 
 
-def node_ids(g: PropertyGraph) -> DataFrame:
-    return g.nodes.select("node_id")
+def node_ids(g: PropertyGraph, ordered: bool = False) -> DataFrame:
+    """Ids of all nodes, on request in ascending order."""
+    ids = g.nodes.select("node_id")
+    return ids.orderBy("node_id") if ordered else ids
 
 
 def scan_nodes(g: PropertyGraph, node_type: str | None = None) -> DataFrame:

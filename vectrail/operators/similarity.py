@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -83,12 +85,21 @@ def similar_nodes(g: PropertyGraph, q: SimilarityQuery) -> DataFrame:
 BLOCK = 64
 
 
-def similar_batch(g: PropertyGraph, queries: list[tuple[int, tuple[float, ...]]], metric: str = "cosine", k: int = 10, node_types: tuple[str, ...] | None = None) -> DataFrame:
+#: Query vectors of a DataFrame that are searched in one pass.
+QUERIES = 4096
+
+
+def similar_batch(g: PropertyGraph, queries: list[tuple[int, tuple[float, ...]]] | DataFrame, metric: str = "cosine", k: int = 10, node_types: tuple[str, ...] | None = None) -> DataFrame:
     """query_id, node_id, score, rank for a stated set of query vectors of one dimension against all candidates.
 
     One pass over the candidates: tasks score Arrow batches against blocks of queries and keep k rows per query, so
-    what is shuffled is k rows per batch and query. Scores have the same bits as ``similar_nodes``.
+    what is shuffled is k rows per batch and query. Scores have the same bits as ``similar_nodes``. Queries in a DataFrame
+    (query_id, embedding) are read in blocks of QUERIES, a pass each.
     """
+    if isinstance(queries, DataFrame):
+        rows = ((r.query_id, tuple(r.embedding)) for r in queries.select("query_id", "embedding").filter("embedding is not null").orderBy("query_id").toLocalIterator())
+        parts = [similar_batch(g, block, metric, k, node_types) for block in iter(lambda: list(islice(rows, QUERIES)), [])]
+        return reduce(DataFrame.unionByName, parts) if parts else g.spark.createDataFrame([], "query_id bigint, node_id bigint, score float, rank int")
     for _, v in queries:
         _check(v, metric)
     ids, matrix = [i for i, _ in queries], np.array([v for _, v in queries], np.float32)

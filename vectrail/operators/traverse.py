@@ -40,11 +40,13 @@ class Traversal:
     revisit: bool = False
 
 
-def steps(g: PropertyGraph, s: Steps) -> DataFrame:
-    """node, next, edge_id, edge_type, weight, key of every step; with both directions a self-loop counts once."""
-    e = g.edges.filter(EdgeFilter(s.edge_types, s.min_weight).condition())
+def steps(g: PropertyGraph, s: Steps, at: list[int] | None = None) -> DataFrame:
+    """node, next, edge_id, edge_type, weight, key of every step, or of those from some nodes, whose edges alone are then
+    read; with both directions a self-loop counts once."""
+    condition = EdgeFilter(s.edge_types, s.min_weight).condition()
 
     def one(a: str, b: str, rank: int) -> DataFrame:
+        e = (g.edges if at is None else g.edges_at(at, a)).filter(condition)
         key = F.struct(F.lit(rank).alias("dir"), F.col("etype_id"), F.col("edge_id"))
         return e.select(F.col(a).alias("node"), F.col(b).alias("next"), "edge_id", "edge_type", "weight", key.alias("key"))
 
@@ -61,12 +63,11 @@ def neighbors(g: PropertyGraph, anchors: list[int] | DataFrame, s: Steps = Steps
     anchors is a list of ids, checked to exist and pushed into the edge scan, or for batches a DataFrame with a column
     node_id, joined.
     """
-    all_ = steps(g, s)
     if isinstance(anchors, DataFrame):
-        found = all_.join(anchors.select(F.col("node_id").alias("node")).distinct(), "node", "left_semi")
+        found = steps(g, s).join(anchors.select(F.col("node_id").alias("node")).distinct(), "node", "left_semi")
     else:
         g.need_nodes(*anchors)
-        found = all_.filter(F.col("node").isin(*anchors))
+        found = steps(g, s, list(anchors))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("key")) - 1
     return found.select(F.col("node").alias("anchor"), F.col("next").alias("node"), F.col("edge_id").alias("via"), "edge_type", "weight", rank.alias("rank"))
 
@@ -130,20 +131,45 @@ def reachable(g: PropertyGraph, start: int | DataFrame, max_hops: int, s: Steps
     return seen
 
 
-def _path(g: PropertyGraph, previous: DataFrame, target: int, start: int, weighted: bool) -> DataFrame:
-    """The path to target along (node, before, edge_id, weight), walked back by one lookup per step."""
-    nodes, edges, weights, at = [target], [], [], target
-    while at != start:
-        r = previous.filter(F.col("node") == at).first()
-        edges.insert(0, r.edge_id)
-        weights.insert(0, r.weight)
-        nodes.insert(0, at := r.before)
+def _made(g: PropertyGraph, nodes: list[int], edges: list[int], weights: list[float], weighted: bool) -> DataFrame:
     cost = np.float32(0)
     for w in weights:
         cost = np.float32(cost + np.float32(max(w, 0.0))) if weighted else np.float32(cost + 1)
     return g.spark.createDataFrame([(nodes, edges, float(cost))], "nodes array<bigint>, edges array<bigint>, cost float")
 
 
+def _back(g: PropertyGraph, levels: list[DataFrame], target: int) -> DataFrame:
+    """The path to target through levels of (node, before, edge_id, weight), the last one first: one job that joins the
+    one row of each level to the next."""
+    p = levels[-1].filter(F.col("node") == target).select("before", F.array("node").alias("nodes"), F.array("edge_id").alias("edges"), F.array("weight").alias("weights"))
+    for level in reversed(levels[:-1]):
+        d = level.select("node", F.col("before").alias("_before"), "edge_id", "weight")
+        p = F.broadcast(p).join(d, p["before"] == d["node"]).select(  # one row
+            F.col("_before").alias("before"), F.concat(F.array("node"), "nodes").alias("nodes"), F.concat(F.array("edge_id"), "edges").alias("edges"), F.concat(F.array("weight"), "weights").alias("weights"),
+        )
+    r = p.first()
+    return _made(g, [r.before, *r.nodes], r.edges, r.weights, False)
+
+
+def _walk(g: PropertyGraph, previous: DataFrame, target: int, hops: int) -> DataFrame:
+    """The path of so many hops to target along (node, before, edge_id, weight), in jobs of at most 16 steps; in each, one
+    row is joined to its predecessor step by step."""
+    nodes, edges, weights = [target], [], []
+    while hops:
+        n = min(hops, 16)
+        p = previous.filter(F.col("node") == nodes[0]).select("before", F.array(F.struct("before", "edge_id", "weight")).alias("taken"))
+        for _ in range(n - 1):
+            d = previous.select(F.col("node").alias("_node"), F.col("before").alias("_before"), "edge_id", "weight")
+            step = F.array(F.struct(F.col("_before").alias("before"), "edge_id", "weight"))
+            p = F.broadcast(p).join(d, F.col("before") == F.col("_node")).select(F.col("_before").alias("before"), F.concat("taken", step).alias("taken"))  # one row
+        for r in p.first().taken:
+            edges.insert(0, r.edge_id)
+            weights.insert(0, r.weight)
+            nodes.insert(0, r.before)
+        hops -= n
+    return _made(g, nodes, edges, weights, True)
+
+
 def _none(g: PropertyGraph) -> DataFrame:
     return g.spark.createDataFrame([], "nodes array<bigint>, edges array<bigint>, cost float")
 
@@ -178,10 +204,7 @@ def _fewest(g: PropertyGraph, start: int, target: int, s: Steps, max_steps: int
                 mine = level.filter(F.col("node") == target).select(key.alias("k"))
                 if before + level.join(mine, key < F.col("k")).count() > max_steps:
                     return _none(g)
-            previous = levels[0]
-            for x in levels[1:]:
-                previous = previous.unionByName(x)
-            return _path(g, previous, target, start, False)
+            return _back(g, levels, target)
         if max_steps is not None and before > max_steps:
             return _none(g)  # all later discoveries come after the budget
         frontier = dense_index(level.select("node", F.struct("by.rank", "by.key").alias("o")), "o", "rank").select("node", "rank")
@@ -199,7 +222,12 @@ def _weighted(g: PropertyGraph, start: int, target: int, s: Steps, max_steps: in
     settled = materialize(g.spark.createDataFrame([(start, 0.0, 0)], "node bigint, dist float, hops int"), "settled")
     changed = settled
     while True:
+        reached = settled.filter(F.col("node") == target).first()
+        if reached is not None:  # offers of more than the target's distance can't be on its path
+            changed = changed.filter(F.col("dist") <= F.lit(reached.dist).cast("float"))
         offers = changed.join(moves, "node").select(F.col("next").alias("node"), (F.col("dist") + F.col("cost")).cast("float").alias("dist"), (F.col("hops") + 1).alias("hops"))
+        if reached is not None:
+            offers = offers.filter(F.col("dist") <= F.lit(reached.dist).cast("float"))
         best = settled.unionByName(offers).groupBy("node").agg(F.min(F.struct("dist", "hops")).alias("b")).select("node", "b.dist", "b.hops")
         best = materialize(best, "settled")
         changed = materialize(best.join(settled, ["node", "dist", "hops"], "left_anti"), "changed")
@@ -216,4 +244,4 @@ def _weighted(g: PropertyGraph, start: int, target: int, s: Steps, max_steps: in
     far = settled.select(F.col("node").alias("next"), F.col("dist").alias("to"), F.col("hops").alias("after"))
     tight = settled.join(moves, "node").join(far, "next").filter(((F.col("dist") + F.col("cost")).cast("float") == F.col("to")) & (F.col("hops") < F.col("after")) & (F.col("next") != start))
     previous = tight.groupBy("next").agg(F.min(F.struct("dist", "node", "key", "edge_id", "weight")).alias("b"))
-    return _path(g, materialize(previous.select(F.col("next").alias("node"), F.col("b.node").alias("before"), "b.edge_id", "b.weight"), "previous"), target, start, True)
+    return _walk(g, materialize(previous.select(F.col("next").alias("node"), F.col("b.node").alias("before"), "b.edge_id", "b.weight"), "previous"), target, mine.hops)

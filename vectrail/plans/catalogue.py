@@ -176,7 +176,7 @@ SELECT node_id, score::DOUBLE AS score, row_number() OVER (ORDER BY {order}, nod
 
 
 def _vector(g: PropertyGraph, i: int) -> tuple[float, ...]:
-    return tuple(query.node(g, VEC + i).first().embedding)
+    return tuple(query.node(g, VEC + i).select("embedding").first().embedding)
 
 
 def _similar(name: str, sql: str | None, make: Callable[[tuple[float, ...]], SimilarityQuery]) -> None:
@@ -188,18 +188,29 @@ _similar("similar_cosine", _similar_sql("cosine", "true"), lambda v: SimilarityQ
 _similar("similar_dot", _similar_sql("dot", "true"), lambda v: SimilarityQuery(v, "dot", allow_full_scan=True))
 _similar("similar_euclidean", _similar_sql("euclidean", "true"), lambda v: SimilarityQuery(v, "euclidean", allow_full_scan=True))
 _similar("similar_typed", _similar_sql("cosine", "true", 5), lambda v: SimilarityQuery(v, k=5, node_types=("vec", "part"), allow_full_scan=True))
-_similar("similar_within", "SELECT 0::BIGINT AS node_id, 0::DOUBLE AS score, 1 AS rank WHERE false", lambda v: SimilarityQuery(v, within=Reach(CUSTOMER + 4, 2), allow_full_scan=True))
+_similar("similar_within_none", "SELECT 0::BIGINT AS node_id, 0::DOUBLE AS score, 1 AS rank WHERE false", lambda v: SimilarityQuery(v, within=Reach(CUSTOMER + 4, 2), allow_full_scan=True))
+
+
+def _within(g: PropertyGraph) -> DataFrame:
+    """Vectors linked in tens, from the first to the others; those that the first reaches."""
+    vec = F.col("node_id") - VEC
+    links = g.nodes.filter("node_type = 'vec'").filter(vec % 10 != 0).select((F.col("node_id") - vec % 10).alias("src"), F.col("node_id").alias("dst"), F.lit("near").alias("edge_type"), F.lit(1.0).cast("float").alias("weight"), props().alias("props"))
+    h = mutations.add_edges(g, links, "dst")
+    return similarity.similar_nodes(h, SimilarityQuery(_vector(g, 3), within=Reach(VEC + 20, 1), allow_full_scan=True)).withColumn("score", F.col("score").cast("double"))
+
+
+register("similar_within", _similar_sql("cosine", "vec_id BETWEEN 20 AND 29").replace("vec_id = 0", "vec_id = 3"))(_within)
 _similar("similar_within_self", _similar_sql("cosine", "vec_id = 5"), lambda v: SimilarityQuery(v, within=Reach(VEC + 5, 3)))
 register("similar_dim_mismatch_empty", "SELECT 0::BIGINT AS node_id, 0::DOUBLE AS score, 1 AS rank WHERE false")(
     lambda g: similarity.similar_nodes(g, SimilarityQuery((1.0, 2.0), node_types=("vec",))).withColumn("score", F.col("score").cast("double"))
 )
 register(
     "similar_batch",
-    f"""WITH q AS (SELECT vec_id AS query_id, embedding::FLOAT[] AS b FROM embeddings WHERE vec_id < 20),
+    f"""WITH q AS (SELECT vec_id AS query_id, embedding::FLOAT[] AS b FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, {VEC} + vec_id AS node_id, {_SCORES["cosine"]} AS score FROM (SELECT query_id, vec_id, embedding::FLOAT[] AS a, b FROM embeddings, q))
 SELECT query_id, node_id, score::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id)::INTEGER AS rank FROM s QUALIFY rank <= 10""",
 )(
-    lambda g: similarity.similar_batch(g, [(r.node_id - VEC, tuple(r.embedding)) for r in g.nodes.filter(F.col("node_type") == "vec").filter(F.col("node_id") < VEC + 20).select("node_id", "embedding").collect()], node_types=("vec",))
+    lambda g: similarity.similar_batch(g, g.nodes.filter((F.col("node_type") == "vec") & ((F.col("node_id") - VEC) % 100 == 0)).select((F.col("node_id") - VEC).alias("query_id"), "embedding"), node_types=("vec",))
     .withColumn("score", F.col("score").cast("double"))
 )
 
@@ -225,8 +236,14 @@ def _weights_sql(new: str) -> str:
     return f"WITH {EDGES_SQL} SELECT edge_id, (CASE WHEN {_PLACED} THEN ({new})::FLOAT ELSE weight END)::DOUBLE AS weight FROM edges WHERE edge_type IN ('placed', 'in_region')"
 
 
+def _all_weights(g: PropertyGraph) -> DataFrame:
+    return g.edges.select("edge_id", F.col("weight").cast("double").alias("weight"))
+
+
 def _update(name: str, sql: str, op: str, operand: float, bounds=None) -> None:
-    register(name, _weights_sql(sql))(lambda g: _weights(mutations.update_edge_weights(g, F.expr(_PLACED), op, operand, bounds)))
+    every = op != "multiply"  # of all edges, also of those that stay
+    out, text = (_all_weights, _weights_sql(sql).rsplit(" WHERE ", 1)[0]) if every else (_weights, _weights_sql(sql))
+    register(name, text)(lambda g: out(mutations.update_edge_weights(g, F.expr(_PLACED), op, operand, bounds)))
 
 
 _update("weight_set_clamped", "100", "set", 500.0, (None, 100.0))
@@ -251,9 +268,13 @@ register(
     "remove_node_cascade",
     f"WITH {GRAPH_SQL} SELECT (SELECT count(*) FROM nodes) - 1 AS n_nodes, (SELECT count(*) FROM edges WHERE src <> {PART + 4} AND dst <> {PART + 4}) AS n_edges",
 )(lambda g: query.counts(mutations.remove_node(g, PART + 4, cascade=True)))
-register("set_embedding", f"SELECT {VEC} + vec_id AS node_id, (CASE WHEN vec_id = 1 THEN 1.0::FLOAT ELSE embedding[1] END)::DOUBLE AS first FROM embeddings")(
-    lambda g: mutations.set_node_embedding(g, VEC + 1, [1.0] + [0.0] * 63).nodes.filter("node_type = 'vec'").select("node_id", F.col("embedding")[0].cast("double").alias("first"))
-)
+register(
+    "set_embedding",
+    f"SELECT {VEC} + vec_id AS node_id, i::INTEGER AS at, (CASE WHEN vec_id = 1 THEN (CASE WHEN i = 0 THEN 1 ELSE 0 END)::FLOAT ELSE embedding[i + 1] END)::DOUBLE AS value FROM embeddings, range(64) r(i)",
+)(
+    lambda g: mutations.set_node_embedding(g, VEC + 1, [1.0] + [0.0] * 63).nodes.filter("node_type = 'vec'")
+    .select("node_id", F.posexplode("embedding").alias("at", "value")).withColumn("value", F.col("value").cast("double"))
+)
 
 
 def _event_nodes(g: PropertyGraph, sf_dir: str) -> PropertyGraph:
@@ -284,7 +305,7 @@ register("index_map", f"WITH {NODES_SQL} SELECT node_id, row_number() OVER (ORDE
 
 def _features(g: PropertyGraph) -> DataFrame:
     d = export.node_features(g, export.index_map(g), ("c_acctbal", "p_size", "label"))
-    return d.select("idx", F.size("features").alias("width"), *[F.get("features", F.lit(i)).cast("double").alias(f"f{i}") for i in (0, 63, 64, 65, 66)])
+    return d.select("idx", F.size("features").alias("width"), *[F.get("features", F.lit(i)).cast("double").alias(f"f{i}") for i in range(67)])
 
 
 register(
@@ -293,7 +314,7 @@ register(
 UNION ALL SELECT {PART} + p_partkey, NULL, NULL, p_size, NULL FROM part UNION ALL SELECT {VEC} + vec_id, embedding::FLOAT[], NULL, NULL, label FROM embeddings
 UNION ALL SELECT r_regionkey, NULL, NULL, NULL, NULL FROM region UNION ALL SELECT {N} + n_nationkey, NULL, NULL, NULL, NULL FROM nation
 UNION ALL SELECT {SUPPLIER} + s_suppkey, NULL, NULL, NULL, NULL FROM supplier UNION ALL SELECT {ORDER} + o_orderkey, NULL, NULL, NULL, NULL FROM orders)
-SELECT row_number() OVER (ORDER BY node_id) - 1 AS idx, 67 AS width, coalesce(e[1], 0)::DOUBLE AS f0, coalesce(e[64], 0)::DOUBLE AS f63,
+SELECT row_number() OVER (ORDER BY node_id) - 1 AS idx, 67 AS width, {", ".join(f"coalesce(e[{i + 1}], 0)::DOUBLE AS f{i}" for i in range(64))},
   coalesce(a, 0)::FLOAT::DOUBLE AS f64, coalesce(p, 0)::DOUBLE AS f65, coalesce(l, 0)::DOUBLE AS f66 FROM n""",
 )(_features)
 register("node_type_ids", f"WITH {NODES_SQL} SELECT row_number() OVER (ORDER BY node_id) - 1 AS idx, type_id FROM nodes")(lambda g: export.node_type_ids(g, export.index_map(g)))
@@ -304,12 +325,24 @@ register(
 
 # --- storage
 
-_STORED = f"WITH {GRAPH_SQL} SELECT node_type AS label, count(*) AS n FROM nodes GROUP BY node_type UNION ALL SELECT edge_type, count(*) FROM edges WHERE weight >= 1::FLOAT GROUP BY edge_type"
+_CHARS = {"region": "length(r_name)", "nation": "length(n_name)", "customer": "length(c_name) + length(c_mktsegment)", "supplier": "length(s_name)", "part": "length(p_name) + length(p_brand) + length(p_type)", "orders": "length(o_orderstatus) + length(o_orderpriority)", "vec": "0"}
+_STORED = f"WITH {EDGES_SQL}, n AS (" + " UNION ALL ".join(
+    f"SELECT '{label}' AS label, {i * N} + {key}::BIGINT AS id, {len(columns)} AS props, {_CHARS[label]} AS chars, {'embedding[7]' if label == 'vec' else '0'}::FLOAT::DOUBLE AS part FROM {table}" for i, (label, (table, key, columns)) in enumerate(NODE_TABLES.items())
+) + """) SELECT label, count(*) AS n, sum(id % 1000003)::BIGINT AS ids, sum(props)::BIGINT AS props, sum(chars)::BIGINT AS chars, sum(floor(part * 1000000))::BIGINT AS numbers FROM n GROUP BY label
+UNION ALL SELECT edge_type, count(*), sum((edge_id + 3 * src + 7 * dst) % 1000003)::BIGINT, 0, 0, sum(floor(weight::DOUBLE * 100))::BIGINT FROM edges GROUP BY edge_type"""
 
 
 def _stored(g: PropertyGraph) -> DataFrame:
-    n = g.nodes.groupBy(F.col("node_type").alias("label")).agg(F.count("*").alias("n"))
-    return n.unionByName(g.edges.filter(F.col("weight") >= F.lit(1.0).cast("float")).groupBy(F.col("edge_type").alias("label")).agg(F.count("*").alias("n")))
+    """Per label sums over all columns: ids and ends, number of properties, characters of strings, an embedding's part or the weight."""
+    total = lambda c, name: F.sum(c).cast("long").alias(name)
+    chars = F.aggregate(F.map_values("props"), F.lit(0), lambda a, x: a + F.coalesce(F.length(x["s"]), F.lit(0)))
+    n = g.nodes.groupBy(F.col("node_type").alias("label")).agg(
+        F.count("*").alias("n"), total(F.col("node_id") % 1000003, "ids"), total(F.size("props"), "props"), total(chars, "chars"), total(F.floor(F.coalesce(F.get("embedding", F.lit(6)), F.lit(0.0)).cast("double") * 1000000), "numbers")
+    )
+    e = g.edges.groupBy(F.col("edge_type").alias("label")).agg(
+        F.count("*").alias("n"), total((F.col("edge_id") + 3 * F.col("src") + 7 * F.col("dst")) % 1000003, "ids"), F.lit(0).cast("long").alias("props"), F.lit(0).cast("long").alias("chars"), total(F.floor(F.col("weight").cast("double") * 100), "numbers")
+    )
+    return n.unionByName(e)
 
 
 def _snapshot(spark: SparkSession, d: str) -> DataFrame:
@@ -328,10 +361,10 @@ def _export(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES |= {"snapshot_roundtrip": _snapshot, "export_import_roundtrip": _export}
 SQL |= {"snapshot_roundtrip": _STORED, "export_import_roundtrip": _STORED}
-QUERIES["latency_percentiles"] = lambda spark, d: spark.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(
-    *[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)").alias(f"p{n}") for p, n in ((0.5, 50), (0.95, 95), (0.99, 99))], F.count("*").alias("n")
-)
-SQL["latency_percentiles"] = "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, count(*) AS n FROM events GROUP BY event_type"
+QUERIES["latency_percentiles"] = lambda spark, d: workload.summary(
+    spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("bucket"), (F.col("user_id") % 50).alias("sample"), F.col("value").alias("seconds"), F.length("event_type").cast("long").alias("counter"))
+).drop("per_second")
+SQL["latency_percentiles"] = "SELECT event_type AS bucket, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, true AS steady FROM events GROUP BY event_type"
 
 # --- generated graphs, workload, streamed updates
 
@@ -351,17 +384,17 @@ SELECT node_id, out_degree, CASE WHEN out_degree >= v THEN 'hub' WHEN out_degree
 
 
 def _folded(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.read.parquet(f"{d}/events.parquet").filter("event_type in ('view', 'click')")
-    op = F.when(F.col("event_type") == "view", "add").otherwise("multiply")
-    updates = e.select(F.col("event_id").alias("seq"), (F.col("user_id") + 1 * E).alias("edge_id"), op.alias("op"), F.when(op == "add", F.lit(0.5)).otherwise(F.lit(2.0)).cast("float").alias("operand"))
-    busy = updates.groupBy("edge_id").count().filter("count <= 20").select("edge_id")
-    g = ingest.apply_updates(load(spark, d), updates.join(busy, "edge_id", "left_semi"))
-    return _flat(g.edges.filter("edge_type = 'cust_nation'").select("edge_id", "weight"))
+    """All views, clicks and purchases; the operands keep every weight finite, however many updates an edge has."""
+    e = spark.read.parquet(f"{d}/events.parquet").filter("event_type in ('view', 'click', 'purchase')")
+    op = F.when(F.col("event_type") == "view", "add").when(F.col("event_type") == "click", "multiply").otherwise("set")
+    operand = F.when(op == "add", F.lit(0.7)).when(op == "multiply", F.lit(0.9)).otherwise(F.lit(2.5)).cast("float")
+    updates = e.select(F.col("event_id").alias("seq"), (F.col("user_id") + 1 * E).alias("edge_id"), op.alias("op"), operand.alias("operand"))
+    return _flat(ingest.apply_updates(load(spark, d), updates).edges.filter("edge_type = 'cust_nation'").select("edge_id", "weight"))
 
 
 QUERIES["updates_folded_in_order"] = _folded
-SQL["updates_folded_in_order"] = f"""WITH u AS (SELECT user_id, list(event_type ORDER BY event_id) AS l FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id HAVING count(*) <= 20)
-SELECT {E} + c_custkey AS edge_id, coalesce(list_reduce(list_transform(l, lambda t: CASE WHEN t = 'view' THEN 0.5::FLOAT ELSE 2.0::FLOAT END), lambda w, x: CASE WHEN x = 0.5::FLOAT THEN (w + x)::FLOAT ELSE (w * x)::FLOAT END, 1.0::FLOAT), 1.0::FLOAT)::DOUBLE AS weight
+SQL["updates_folded_in_order"] = f"""WITH u AS (SELECT user_id, list(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END ORDER BY event_id) AS l FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY user_id)
+SELECT {E} + c_custkey AS edge_id, coalesce(list_reduce(list_transform(l, lambda t: t::FLOAT), lambda w, x: CASE x WHEN 1 THEN (w + 0.7::FLOAT)::FLOAT WHEN 2 THEN (w * 0.9::FLOAT)::FLOAT ELSE 2.5::FLOAT END, 1.0::FLOAT), 1.0::FLOAT)::DOUBLE AS weight
 FROM customer LEFT JOIN u ON user_id = c_custkey"""
 
 

@@ -6,12 +6,15 @@ no row has to know about others. All columns stay lazy: a property predicate on
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import GraphConfig
 from ..functions.scalars import DOUBLE, INT, STRING, props, tagged
-from ..graph import PropertyGraph
+from ..graph import EDGES, NODES, Lookup, PropertyGraph
 
 NODE_BASE, EDGE_BASE = 10**9, 10**16
 VECTOR_DIM = 64
@@ -52,23 +55,65 @@ def _id(label: str, key: str) -> Column:
     return F.col(key).cast("long") + list(NODE_TABLES).index(label) * NODE_BASE
 
 
+def _line_keys(keys: list[int]) -> Column:
+    """The condition for LINE_KEY values, on the columns that they are made of."""
+    out = F.lit(False)
+    for k in keys:
+        rest, supplier = divmod(k, 1024)
+        rest, part = divmod(rest, 131072)
+        order, line = divmod(rest, 8)
+        out = out | ((F.col("l_orderkey") == order) & (F.col("l_linenumber") == line) & (F.col("l_partkey") == part) & (F.col("l_suppkey") == supplier))
+    return out
+
+
 def load(spark: SparkSession, sf_dir: str, config: GraphConfig = GraphConfig()) -> PropertyGraph:
-    """The graph of the tables under sf_dir."""
+    """The graph of the tables under sf_dir. Lookups by id turn into comparisons of key columns, on the tables that can
+    hold the ids."""
     read = lambda t: spark.read.schema(SCHEMAS[t]).parquet(f"{sf_dir}/{t}.parquet")
-    nodes: DataFrame | None = None
-    for i, (label, (table, key, columns)) in enumerate(NODE_TABLES.items()):
+    labels, kinds = list(NODE_TABLES), list(EDGE_TABLES)
+
+    def nodes_of(label: str, d: DataFrame) -> DataFrame:
+        _, key, columns = NODE_TABLES[label]
         vector = F.col("embedding").cast("array<float>") if label == "vec" else F.lit(None).cast("array<float>")
-        one = read(table).select(
-            _id(label, key).alias("node_id"), F.lit(label).alias("node_type"), F.lit(i).alias("type_id"),
+        return d.select(
+            _id(label, key).alias("node_id"), F.lit(label).alias("node_type"), F.lit(labels.index(label)).alias("type_id"),
             props(**{c: tagged(tag, F.col(c)) for c, tag in columns.items()}).alias("props"), vector.alias("embedding"),
         )
-        nodes = one if nodes is None else nodes.unionByName(one)
-    edges: DataFrame | None = None
-    for i, (label, (table, a, src, b, dst, weight, key)) in enumerate(EDGE_TABLES.items()):
-        one = read(table).select(
-            (F.expr(key).cast("long") + i * EDGE_BASE).alias("edge_id"), _id(a, src).alias("src"), _id(b, dst).alias("dst"), F.lit(label).alias("edge_type"),
-            F.lit(i).alias("etype_id"), F.expr(weight).cast("float").alias("weight"), props().alias("props"),
+
+    def edges_of(label: str, d: DataFrame) -> DataFrame:
+        _, a, src, b, dst, weight, key = EDGE_TABLES[label]
+        return d.select(
+            (F.expr(key).cast("long") + kinds.index(label) * EDGE_BASE).alias("edge_id"), _id(a, src).alias("src"), _id(b, dst).alias("dst"), F.lit(label).alias("edge_type"),
+            F.lit(kinds.index(label)).alias("etype_id"), F.expr(weight).cast("float").alias("weight"), props().alias("props"),
         )
-        edges = one if edges is None else edges.unionByName(one)
-    types = {label: (i, VECTOR_DIM if label == "vec" else None) for i, label in enumerate(NODE_TABLES)}
-    return PropertyGraph(nodes, edges, types, {label: i for i, label in enumerate(EDGE_TABLES)}, config, len(NODE_TABLES) * NODE_BASE, len(EDGE_TABLES) * EDGE_BASE)
+
+    def union(parts: list[DataFrame], schema: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
+    def own(ids: Sequence[int], i: int, base: int) -> list[int]:
+        return [x - i * base for x in ids if x // base == i]
+
+    def nodes_with(ids: Sequence[int]) -> DataFrame:
+        return union([nodes_of(x, read(NODE_TABLES[x][0]).filter(F.col(NODE_TABLES[x][1]).isin(*keys))) for i, x in enumerate(labels) if (keys := own(ids, i, NODE_BASE))], NODES)
+
+    def edges_with(ids: Sequence[int]) -> DataFrame:
+        parts = []
+        for i, x in enumerate(kinds):
+            if keys := own(ids, i, EDGE_BASE):
+                key = EDGE_TABLES[x][6]
+                parts.append(edges_of(x, read(EDGE_TABLES[x][0]).filter(_line_keys(keys) if key == LINE_KEY else F.col(key).isin(*keys))))
+        return union(parts, EDGES)
+
+    def edges_at(ids: Sequence[int], end: str) -> DataFrame:
+        parts = []
+        for x in kinds:
+            label, column = EDGE_TABLES[x][1:3] if end == "src" else EDGE_TABLES[x][3:5]
+            if keys := own(ids, labels.index(label), NODE_BASE):
+                parts.append(edges_of(x, read(EDGE_TABLES[x][0]).filter(F.col(column).isin(*keys))))
+        return union(parts, EDGES)
+
+    nodes = union([nodes_of(x, read(NODE_TABLES[x][0])) for x in labels], NODES)
+    edges = union([edges_of(x, read(EDGE_TABLES[x][0])) for x in kinds], EDGES)
+    types = {label: (i, VECTOR_DIM if label == "vec" else None) for i, label in enumerate(labels)}
+    lookup = Lookup(nodes, edges, nodes_with, edges_with, edges_at)
+    return PropertyGraph(nodes, edges, types, {label: i for i, label in enumerate(kinds)}, config, len(labels) * NODE_BASE, len(kinds) * EDGE_BASE, lookup=lookup)

@@ -62,15 +62,13 @@ def apply_updates(g: PropertyGraph, updates: DataFrame) -> PropertyGraph:
 
 
 def ingest(stream: DataFrame, stored: StoredGraph, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Commit every micro-batch of a stream of updates to a stored graph. A batch that is delivered again after a failure
-    in this process is recognised by its number; after a restart of the process only "set" may be delivered twice without harm."""
-    done: set[int] = set()
+    """Commit every micro-batch of a stream of updates to a stored graph. A batch's number is kept in the graph's manifest
+    under the checkpoint's path, so a batch that is delivered again, also after a restart, changes nothing."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        if number in done or rows.isEmpty():
+        if stored.marks.get(checkpoint, -1) >= number or rows.isEmpty():
             return
-        stored.commit(apply_updates(stored.graph, rows))
-        done.add(number)
+        stored.commit(apply_updates(stored.graph, rows), mark=(checkpoint, number))
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
