@@ -71,12 +71,22 @@ def brute_repeats(texts):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_repeated_spans(spark, seed):
+def test_repeated_spans(spark, seed, monkeypatch):
+    monkeypatch.setattr(substring, "FREQUENT", 6 if seed == 1 else 10**6)  # with and without frequent nodes
     texts = corpus(seed) + ["q w e r t " * 30]
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.remove_repeats(frame(spark, texts)).collect()}
     assert got == dict(enumerate(brute_repeats(texts)))
 
 
+def test_paths_that_do_not_branch_compact(spark):
+    # stretches of 5 windows of document 1: 0 5 10 15 always follow each other, 20 is also met without them
+    rows = [(d, 5 * i, 5, 1, 5 * i) for d in (2, 3, 4) for i in range(4)] + [(d, 20, 5, 1, 20) for d in (2, 3)] + [(5, 100, 5, 1, 20)]
+    links = spark.createDataFrame(rows, "doc bigint, pos int, n int, first_doc bigint, first_pos int")
+    assert {tuple(r) for r in substring.paths(links).collect()} == {(1, 0, 5, 20), (1, 5, 5, None), (1, 10, 5, None), (1, 15, 5, None)}
+    k = substring.WINDOW - 1
+    assert {tuple(r) for r in substring.compact(links).collect()} == {(2, 0, 25 + k, 1, 0), (3, 0, 25 + k, 1, 0), (4, 0, 20 + k, 1, 0), (5, 100, 5 + k, 1, 20)}
+
+
 def test_repeated_spans_of_odd_tables(spark):
     d = frame(spark, corpus(3, 20))
     both = d.union(d).union(d.withColumn("doc_id", F.lit(None).cast("bigint")).limit(3))

@@ -1,11 +1,18 @@
 """Removal of long repeated word spans by compaction of a de Bruijn graph of word k-mers.
 
-A window of WINDOW words is a path of edges (k-mers of K words). Its node is its minimizer, the k-mer of smallest hash;
-consecutive windows with one minimizer compact into one nonbranching piece, so the graph has a row for about every
-ninth word. Pieces meet at their node (a shuffle by its hash, rows sorted by source coordinates); there, windows that
-also start earlier are found by their hashes and linked to the coordinates of that start. Linked pieces that continue
-each other in both places compact further, into the longest spans, and each span is verified by joining both source
-coordinates to the texts and comparing digests of the words themselves, before its words are removed.
+The graph's edges are windows of WINDOW words; its paths are texts.
+
+1. Runs: consecutive windows with one minimizer (their K-word part of smallest hash) travel together to its node, with a
+   hash of each. There, windows that also start earlier are found, and runs of them that follow each other in both places
+   are the repeated edges' occurrences: (doc, pos, n windows, first_doc, first_pos). A run's name is its first coordinates
+   and n; equal names are one stretch of the graph. A node that a bounded sample shows to be frequent is split: its windows
+   travel one by one, by their own hash.
+2. Degrees: how often each stretch occurs, and how often it is followed by which. Where a stretch is always followed by the
+   same one, which always follows it, and both go on in the first place too, the path between them does not branch.
+3. Nonbranching stretches compact into paths by joins: every stretch points to the one before it, and pointers are
+   followed twice as far in each round, until all point to the head of their path.
+4. Every occurrence of a head is a span of its whole path. Spans that follow each other are joined, and each is verified by
+   joining both source coordinates to the texts and comparing digests of the words themselves, before words are removed.
 
 Hot passages shrink before the shuffle: windows that repeat inside one chunk of texts are linked there, and only a
 chunk's first occurrence goes on.
@@ -25,6 +32,8 @@ from .common import materialize, table
 from .shingles import Words, chunks, mix
 
 WINDOW, K = 20, 5
+#: Nodes of at least this many of about SAMPLE_DOCS documents are split; it tunes the work, not the result.
+SAMPLE_DOCS, FREQUENT = 2000, 20
 _PIECE = "key bigint, doc bigint, pos int, n int, first_doc bigint, first_pos int, hashes binary"
 _LINK = "doc bigint, pos int, n int, first_doc bigint, first_pos int"
 
@@ -38,12 +47,40 @@ def _spans(doc, pos, fdoc, fpos) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(doc)))
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """Compacted pieces of the graph, keyed by their node, and links of windows repeated within a chunk.
+def _nodes(w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word that starts each window's minimizer, and the hashes of the K words from each word on."""
+    k_at, k_hash = w.windows(K)
+    kmers = np.full(len(w.hash), np.iinfo(np.uint64).max, np.uint64)
+    kmers[k_at] = k_hash
+    return at + np.lib.stride_tricks.sliding_window_view(kmers, WINDOW - K + 1)[at].argmin(axis=1), kmers
 
-    A piece has the 4-byte hashes of its windows (with the node's 8 bytes, 12 in all); a link has none, but the
-    coordinates of its chunk's first occurrence, and a key that spreads it.
+
+def frequent_nodes(docs: DataFrame, n_docs: int) -> np.ndarray:
+    """Hashes of the nodes of at least FREQUENT documents of a sample of about SAMPLE_DOCS."""
+    sample = docs.filter(F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(max(1, n_docs // SAMPLE_DOCS))) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, texts in chunks(batches):
+            w = Words(texts)
+            at, _ = w.windows(WINDOW)
+            if len(at):
+                node, kmers = _nodes(w, at)
+                once = np.unique(np.stack([w.doc[at].astype(np.uint64), kmers[node]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(once[1].view(np.int64))], ["node"])
+
+    counts = sample.mapInArrow(run, "node bigint").groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
+    return np.sort(np.array([r.node for r in counts.orderBy(F.desc("n"), "node").limit(100_000).collect()], np.int64).view(np.uint64))
+
+
+def pieces(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """Runs of windows, keyed by their node, or single windows of frequent nodes, keyed by their hash; and links of windows
+    repeated within a chunk.
+
+    A run has the 8-byte hashes of its windows; a link has none, but the coordinates of its chunk's first occurrence, and a
+    key that spreads it.
     """
+    often = docs.sparkSession.sparkContext.broadcast(frequent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, rows, texts in chunks(batches):
             ids = np.array(batch.column(0)[rows].to_pylist(), np.int64)
@@ -52,11 +89,8 @@ def pieces(docs: DataFrame) -> DataFrame:
             at, whole = w.windows(WINDOW)
             if not len(at):
                 continue
-            k_at, k_hash = w.windows(K)
-            edges = np.full(len(w.hash), np.iinfo(np.uint64).max, np.uint64)
-            edges[k_at] = k_hash
-            near = np.lib.stride_tricks.sliding_window_view(edges, WINDOW - K + 1)[at]
-            node = at + near.argmin(axis=1)
+            node, kmers = _nodes(w, at)
+            hot = np.isin(kmers[node], often.value)
             doc, pos = ids[w.doc[at]], w.pos[at]
             # windows that the chunk holds before, in coordinate order
             by = np.argsort(whole, kind="stable")
@@ -69,14 +103,14 @@ def pieces(docs: DataFrame) -> DataFrame:
             a = s[a] if len(a) else a
             links = [mix(a.astype(np.uint64) + whole[a]).view(np.int64), doc[a], pos[a], n, doc[first[a]], pos[first[a]]]
             u = np.flatnonzero(first == np.arange(len(by)))
-            cut = np.concatenate([[True], (node[u][1:] != node[u][:-1]) | (u[1:] != u[:-1] + 1) | (doc[u][1:] != doc[u][:-1])]) if len(u) else np.zeros(0, bool)
+            cut = np.concatenate([[True], (node[u][1:] != node[u][:-1]) | (u[1:] != u[:-1] + 1) | (doc[u][1:] != doc[u][:-1]) | hot[u][1:]]) if len(u) else np.zeros(0, bool)
             b = np.flatnonzero(cut)
             size = np.diff(np.append(b, len(u)))
-            h = (whole[u] >> np.uint64(32)).astype(np.uint32)
+            h = whole[u]
             p = u[b]
             m, zero = len(p), np.zeros(len(p), np.int64)
-            data = [np.concatenate([x, y]) for x, y in zip([edges[node[p]].view(np.int64), doc[p], pos[p], size, zero, zero], links, strict=True)]
-            offsets = np.concatenate([[0], np.cumsum(size) * 4, np.full(len(a), len(h) * 4)]).astype(np.int32)
+            data = [np.concatenate([x, y]) for x, y in zip([np.where(hot[p], whole[p], kmers[node[p]]).view(np.int64), doc[p], pos[p], size, zero, zero], links, strict=True)]
+            offsets = np.concatenate([[0], np.cumsum(size) * 8, np.full(len(a), len(h) * 8)]).astype(np.int32)
             valid = np.packbits(np.arange(m + len(a)) < m, bitorder="little")
             blobs = pa.Array.from_buffers(pa.binary(), m + len(a), [pa.py_buffer(valid.tobytes()), pa.py_buffer(offsets.tobytes()), pa.py_buffer(h.tobytes())])
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
@@ -100,10 +134,10 @@ def meet(parts: DataFrame) -> DataFrame:
             out = [[x[known]] for x in (doc, pos, n, fdoc, fpos)]
             r = np.flatnonzero(~known)
             if len(r):
-                h = np.frombuffer(b"".join(batch.column(6).take(pa.array(r)).to_pylist()), np.uint32)
+                h = np.frombuffer(b"".join(batch.column(6).take(pa.array(r)).to_pylist()), np.uint64)
                 row = np.repeat(r, n[r])
                 d, p = doc[row], pos[row] + np.arange(len(row)) - np.repeat(np.cumsum(n[r]) - n[r], n[r])
-                whole = mix(key[row].view(np.uint64) + (h.astype(np.uint64) << np.uint64(32)) * np.uint64(0x9E3779B1) + h)
+                whole = mix(key[row].view(np.uint64)) ^ h  # equal windows have equal nodes
                 by = np.argsort(whole, kind="stable")
                 same = np.concatenate([[False], whole[by][1:] == whole[by][:-1]])
                 first = np.empty(len(by), np.int64)
@@ -128,11 +162,40 @@ def meet(parts: DataFrame) -> DataFrame:
     return parts.repartition("key").sortWithinPartitions("key", "doc", "pos").mapInArrow(run, _LINK)
 
 
+_NAME = ("first_doc", "first_pos", "n")
+
+
+def paths(links: DataFrame) -> DataFrame:
+    """(first_doc, first_pos, n, windows) of the stretches on paths of several that don't branch: for a path's head the
+    windows of the whole path, for the others null."""
+    occurs = materialize(links.groupBy(*_NAME).agg(F.count("*").alias("times")), "stretches")
+    ends = ["doc", "pos", "first_doc", "first_pos"]
+    this = links.select("doc", F.col("pos") + F.col("n"), "first_doc", F.col("first_pos") + F.col("n"), "first_pos", "n").toDF(*ends, "from", "size")
+    follows = this.join(links, ends).groupBy("first_doc", "from", "size", "first_pos", "n").agg(F.count("*").alias("times"))
+    before = occurs.select("first_doc", F.col("first_pos").alias("from"), F.col("n").alias("size"), "times")
+    only = follows.join(before, ["first_doc", "from", "size", "times"]).join(occurs, [*_NAME, "times"])  # all of both
+    chain = only.select(F.struct(*_NAME).alias("node"), F.struct("first_doc", F.col("from").alias("first_pos"), F.col("size").alias("n")).alias("head"), F.lit(True).alias("moved"))
+    chain = materialize(chain, "chain")
+    while not chain.filter("moved").isEmpty():  # head: the stretch 1, 2, 4 ... before this one, as far as there is one
+        further = chain.select(F.col("node").alias("head"), F.col("head").alias("further"))
+        chain = materialize(chain.join(further, "head", "left").select("node", F.coalesce("further", "head").alias("head"), F.col("further").isNotNull().alias("moved")), "chain")
+    heads = chain.groupBy("head").agg(F.sum("node.n").alias("rest")).select("head.*", (F.col("head.n") + F.col("rest")).cast("int").alias("windows"))
+    return materialize(heads.unionByName(chain.select("node.*", F.lit(None).cast("int").alias("windows"))), "paths")
+
+
 def compact(links: DataFrame) -> DataFrame:
-    """Links joined into the longest spans: those of a document that follow each other in both places."""
+    """Spans (doc, pos, len, first_doc, first_pos): every occurrence of a path that doesn't branch as a whole, and spans
+    that follow each other in both places joined."""
+    on_path = paths(links).withColumn("on_path", F.lit(True))
+    x = links.join(on_path, list(_NAME), "left").filter("on_path is null or windows is not null")  # others are in their head's span
+    return joined(x.select("doc", "pos", F.coalesce("windows", "n").alias("n"), "first_doc", "first_pos"))
+
+
+def joined(x: DataFrame) -> DataFrame:
+    """Spans of a document that follow each other in both places, as one."""
     w = Window.partitionBy("doc", "first_doc", "shift").orderBy("pos")
     end = F.max(F.col("pos") + F.col("n")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    x = links.withColumn("shift", F.col("first_pos") - F.col("pos")).withColumn("new", (F.coalesce(end, F.lit(-1)) < F.col("pos")).cast("int"))
+    x = x.withColumn("shift", F.col("first_pos") - F.col("pos")).withColumn("new", (F.coalesce(end, F.lit(-1)) < F.col("pos")).cast("int"))
     x = x.withColumn("span", F.sum("new").over(w))
     g = x.groupBy("doc", "first_doc", "shift", "span").agg(F.min("pos").alias("pos"), F.max(F.col("pos") + F.col("n")).alias("end"))
     words_ = (F.col("end") - F.col("pos") + WINDOW - 1).cast("int")
@@ -163,10 +226,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     window of WINDOW words covers, unless the window is its sequence's first (smallest doc_id, then position).
 
     doc_id names one text: repeated rows have equal results. Rows with null doc_id have no coordinates and keep all
-    their words. Null texts have no words; kept_text is then empty. An empty table gives an empty result.
+    their words. Null texts have no words; kept_text is then empty. Very long texts are read whole, a chunk each; other columns
+    are ignored. An empty table gives an empty result.
     """
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").alias("doc"), F.col("text").cast("binary").alias("text"))
-    spans = materialize(compact(materialize(meet(pieces(texts)), "links")), "spans")
+    frequent = frequent_nodes(texts, docs.count())
+    spans = materialize(compact(materialize(meet(pieces(texts, frequent)), "links")), "spans")
     cuts = verify(texts, spans).groupBy(F.col("doc").alias("cut_doc")).agg(F.collect_list(F.struct("pos", "len")).alias("cuts"))
     all_ = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
 
