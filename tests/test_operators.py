@@ -234,3 +234,19 @@ def test_export(spark):
 def test_dense_index_over_partitions(spark):
     d = dense_index(spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(5), "k")
     assert d.filter("k <> idx").count() == 0 and d.count() == 1000
+
+
+def test_lookups_read_only_the_rows_of_their_ids(spark):
+    from vectrail.sources.tables import EDGE_BASE, NODE_BASE, load
+
+    g = load(spark, "/root/testdata/sf0.001")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    one = query.node(g, 2 * NODE_BASE + 7)
+    assert one.count() == 1 and plan(one).count("FileScan") == 1 and "EqualTo(c_custkey,7)" in plan(one)
+    line = g.edges.filter("edge_type = 'supplied_by'").orderBy("edge_id").limit(1).select("edge_id", "src", "dst").first()
+    found = query.edge(g, line.edge_id)
+    assert found.count() == 1 and plan(found).count("FileScan") == 1 and "PushedFilters: [IsNotNull(l_" in plan(found)
+    assert query.node(g, 8 * NODE_BASE).count() == query.edge(g, 9 * EDGE_BASE).count() == 0
+    near = traverse.neighbors(g, [line.src], Steps(BOTH))
+    whole = traverse.steps(g, Steps(BOTH)).filter(F.col("node") == line.src)
+    assert near.count() == whole.count() > 0 and plan(near).count("FileScan") < plan(whole).count("FileScan")

@@ -56,6 +56,11 @@ def test_streamed_updates(spark, tmp_path):
     q.awaitTermination()
     got = {r.edge_id: r.weight for r in storage.open_(spark, f"file://{tmp_path}/g").graph.edges.collect()}
     assert got == {0: 6.0, 1: 0.5}
+    # after a restart of the process the batch comes again: its number is in the manifest
+    again = storage.open_(spark, f"file://{tmp_path}/g")
+    version = again.version
+    again.commit(ingest.apply_updates(again.graph, spark.createDataFrame(rows, ingest.UPDATE)), mark=(f"file://{tmp_path}/check", 0))
+    assert again.version == version and {r.edge_id: r.weight for r in again.graph.edges.collect()} == got
     for bad, kind in (((1, 9, "add", 1.0), errors.EdgeNotFound), ((1, 0, "multiply", float("inf")), errors.InvalidPropertyValue), ((1, 0, "halve", 1.0), errors.InvalidPropertyValue)):
         with pytest.raises(kind):
             ingest.apply_updates(s.graph, spark.createDataFrame([bad], ingest.UPDATE))

@@ -5,6 +5,7 @@ import os
 
 import pytest
 from graphs import graph, ids
+from pyspark.sql import functions as F
 
 from vectrail import errors
 from vectrail.config import GraphConfig
@@ -96,3 +97,54 @@ def test_writers(spark, tmp_path):
     assert ids(storage.import_(spark, f"file://{tmp_path}/copy").nodes) == [0]
     with pytest.raises(errors.InvalidNodeType):
         storage.open_(spark, path, GraphConfig(max_embedding_dim=2))
+
+
+def test_commits_write_what_changed(spark, tmp_path):
+    path = f"file://{tmp_path}/g"
+    s = storage.create(spark, path)
+    s.commit(graph(spark, [{"age": i} for i in range(40)], [(i, (i + 1) % 40, "t", 1) for i in range(40)]))
+    base = s.parts["data"]
+    g = mutations.remove_edge(mutations.update_edge_weights(s.graph, F.col("edge_id") == 3, "set", 7.0), 5)
+    s.commit(g)
+    assert s.parts["data"] == base and set(s.parts["delta"]) == {"edges"} and s.parts["delta"]["edges"][1] == 2  # one changed, one gone
+    g, i = mutations.add_node(s.graph, "person", {"age": 99})
+    s.commit(mutations.update_node_properties(g, 4, mutations.PropertyPatch().set("age", -1)))
+    assert s.parts["delta"]["nodes"][1] == 2 and s.parts["delta"]["edges"][1] == 2
+    h = storage.open_(spark, path).graph
+    assert ids(h.nodes) == [*range(41)] and query.edge(h, 3).first().weight == 7.0 and query.edge(h, 5).count() == 0 and h.edges.count() == 39
+    assert ids(query.nodes_by_property(h, PropertyQuery("person", "age", eq=-1))) == [4] and ids(query.nodes_by_property(h, PropertyQuery("person", "age", eq=4))) == []
+    s.commit(mutations.update_edge_weights(s.graph, F.lit(True), "add", 1.0))
+    assert s.parts["data"] != base and not s.parts["delta"]  # too large a part: a new base
+    s.snapshot(free=True)
+    assert [x for x in os.listdir(tmp_path / "g") if x.startswith(("data-", "delta-"))] == [s.parts["data"]]
+    again = storage.open_(spark, path).graph
+    assert again.edges.count() == 39 and query.edge(again, 3).first().weight == 8.0
+
+
+def test_changed_columns_are_noticed(spark, tmp_path):
+    path = f"file://{tmp_path}/g"
+    s = storage.create(spark, path)
+    s.commit(graph(spark, [{"age": 1}, {"age": 2}], [(0, 1, "t", 1)]))
+    nodes = spark.read.parquet(f"{path}/{s.parts['data']}/nodes")
+    other = mutations.update_node_properties(s.graph, 1, mutations.PropertyPatch().set("age", 3)).nodes.select(*nodes.columns)
+    other.write.parquet(f"file://{tmp_path}/other")
+    (tmp_path / "g" / s.parts["data"] / "nodes").rename(tmp_path / "old")
+    (tmp_path / "other").rename(tmp_path / "g" / s.parts["data"] / "nodes")
+    with pytest.raises(errors.Codec):
+        storage.open_(spark, path)
+
+
+def test_lock_of_an_ended_process_is_stale(spark, tmp_path):
+    import socket
+    import subprocess
+    import sys
+
+    path, config = f"file://{tmp_path}/g", GraphConfig(file_lock=True)
+    storage.create(spark, path, config).close()
+    ended = subprocess.Popen([sys.executable, "-c", ""])
+    ended.wait()
+    (tmp_path / "g" / "LOCK").write_text(f"{socket.gethostname()} {ended.pid}")
+    storage.open_(spark, path, config).close()
+    (tmp_path / "g" / "LOCK").write_text(f"elsewhere {ended.pid}")
+    with pytest.raises(errors.LockConflict):
+        storage.open_(spark, path, config)
