@@ -507,3 +507,54 @@ def test_pipeline(spark):
     bench = [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     assert not any(b in r.text for r in kept["decontamination"] for b in bench)
     assert len(kept["sharding"]) == len(kept["mixing"]) == corpus_pipeline.run(spark, DATA).count()
+
+
+def odd_rows(spark):
+    r = random.Random(12)
+    words = "the of and to in is that for it de la le et der die und que el los se".split() + ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    text = lambda n: " ".join(r.choice(words[:20]) if r.random() < 0.4 else r.choice(words) for _ in range(n))
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet").first().text
+    a, long = text(80), text(20_000)
+    rows = [(1, a, "s1"), (2, a, "s2"), (None, a, "s1"), (None, text(90), None), (3, text(90), "s1"), (3, text(70), "s2"), (4, text(60) + " " + bench, "s1"), (None, bench + " " + text(60), "s2"), (5, None, "s1"), (6, " ", None), (7, long, "s3")]
+    rows += [(8, text(100), "s1")] * 2
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("lang", F.lit("x")).withColumn("n_chars", F.length("text"))
+    for name in ("copies", "__id", "__copy", "__contaminated", "row", "row_id", "cls", "size", "_key"):
+        d = d.withColumn(name, F.lit(name))
+    return d, a, bench, long
+
+
+def test_pipeline_stages_with_odd_rows(spark):
+    d, a, bench, long = odd_rows(spark)
+    n = d.count()
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, d.limit(0), DATA)
+        assert empty.count() == 0 and (name == "sharding" or empty.columns == d.columns)
+    good = stages["quality"](spark, d, DATA)
+    assert good.columns == d.columns and Counter(r.doc_id for r in good.collect()) == Counter({None: 3, 1: 1, 2: 1, 3: 2, 4: 1, 7: 1, 8: 2})
+    one = stages["near_duplicates"](spark, d, DATA)
+    kept = Counter((r.doc_id, r.text == a) for r in one.collect())
+    assert one.columns == d.columns and kept == Counter({(1, True): 1, (None, False): 2, (3, False): 2, (4, False): 1, (5, False): 1, (6, False): 1, (7, False): 1, (8, False): 1})
+    clean = stages["decontamination"](spark, d, DATA)
+    assert clean.columns == d.columns and clean.count() == n - 2 and not any(bench in (r.text or "") for r in clean.collect())
+    mixed = stages["mixing"](spark, d, DATA)
+    taken = Counter((r.doc_id, r.text, r.source) for r in mixed.collect())
+    held = Counter((r.doc_id, r.text, r.source) for r in d.collect())
+    assert mixed.columns == d.columns and set(taken) <= set(held) and all(taken[k] <= 3 * held[k] for k in taken)
+    assert any(k[0] is None for k in taken) and any(k[1] == long for k in taken)
+    dealt = stages["sharding"](spark, d, DATA).collect()
+    assert len(dealt) == n and max(Counter(r.shard for r in dealt).values()) <= -(-n // 8)
+
+
+def test_very_long_texts(spark):
+    r = random.Random(1)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(5000)]
+    long = [r.choice(words) for _ in range(60_000)]
+    texts = [" ".join(long), " ".join(long[:59_000] + ["x"]), "1.2.3.4 " + " ".join(long)]
+    d = frame(spark, texts)
+    assert {x.doc_id: x.component_id for x in jaccard.near_duplicates(d).collect()} == {0: 0, 1: 0, 2: 0}
+    got = {x.doc_id: x.n_removed for x in substring.remove_repeats(d).collect()}
+    assert got == {0: 0, 1: 59_000, 2: 60_000}
+    assert {x.doc_id: (x.n_ip, x.n_spans) for x in pii.find_personal_data(d).collect()} == {0: (0, 0), 1: (0, 0), 2: (1, 1)}
+    item = spark.createDataFrame([(1, " ".join(long[31_000:31_030]))], "item_id bigint, text string")
+    assert {x.doc_id for x in decontam.contaminated(d, item).collect()} == {0, 1, 2}

@@ -186,3 +186,16 @@ def test_targets_stop_at_the_cap(spark):
         want |= {k: 3.0 * sizes[k] for k in over}
         free -= over
     assert got == pytest.approx(want)
+
+
+def test_very_long_texts(spark):
+    text = " ".join(f"w{i % 7001}" for i in range(50_000))
+    d = spark.createDataFrame([(1, text, "s"), (2, "short", "s")], "doc_id bigint, text string, source string")
+    j = {r.doc_id: r for r in quality.judge(d).collect()}
+    assert (j[1].n_words, j[1].n_repeat_words, j[1].word_chars) == (50_000, 50_000, sum(len(f"w{i % 7001}") for i in range(50_000)))
+    assert {r.doc_id: r.size for r in mixing.mix(d).collect()} == {1: 50_000, 2: 1}
+    assert {r.doc_id: r.size for r in sharding.interleave(d).collect()} == {1: len(text) + 1, 2: 6}
+    c = chat.digest(turns(spark, [(1, 0, "user", text), (1, 1, "assistant", text)])).first()
+    assert c.loss_sha256 == hashlib.sha256(text.encode()).hexdigest() and c.n_turns == 2
+    p = warc.round_trip(spark.createDataFrame([(1, "u", text)], "page_id bigint, url string, html string")).first()
+    assert p.payload_digest == hashlib.sha1(text.encode()).hexdigest()

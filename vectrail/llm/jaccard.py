@@ -274,7 +274,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null and blank texts have no shingles and form their own components. component_id is the smallest doc_id that
     links reach. Rows with null doc_id are linked like others and take the smallest doc_id of their class, or null. Repeated
-    rows are each returned. An empty table gives an empty result.
+    rows are each returned, and rows that share a doc_id or have none are compared by their own texts. Documents that tie are
+    named by the smallest doc_id. Very long texts are one set each; other columns are ignored. An empty table gives an empty result.
     """
     info = materialize(describe(docs), "info")
     labels, _ = linked_classes(docs, info)

@@ -108,7 +108,9 @@ def verdict(p: str = "", rules: tuple[Rule, ...] = RULES) -> tuple[Column, Colum
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, counts, base_failed and kept of every row of docs (doc_id, text); repeated rows are judged each."""
+    """doc_id, counts, base_failed and kept of every row of docs (doc_id, text). Null and blank texts have no words and fail;
+    repeated rows and rows without doc_id are judged each; very long texts are judged whole, in their row; other columns are
+    ignored, and an empty table gives an empty result."""
     d = measures(docs.select("doc_id", "text"), p="_")
     base, kept = verdict("_")
     counts = [F.col(f"_{x}").alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
