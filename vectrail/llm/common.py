@@ -17,11 +17,12 @@ def words(text: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: spark.checkpoint.dir, or the folder given to setCheckpointDir. There is no
-    machine-local fallback, since executors could not read it; a session without either is an error."""
+    """Shared folder for intermediate tables: spark.checkpoint.dir, or the folder given to setCheckpointDir. In local mode
+    a folder of the warehouse serves where both are unset; on a cluster that is an error, as local folders aren't shared."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        base = base or spark.conf.get("spark.sql.warehouse.dir")  # one process: every task sees its warehouse
+    master = spark.sparkContext.master
+    if not base and (master == "local" or master.startswith("local[")):
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"  # one process: every task sees it
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return base.rstrip("/")
