@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,26 +35,36 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Folders written inside ``temporary`` blocks, the innermost last.
+_written: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that ``materialize`` writes inside the block at its end, but those written with keep: what leaves
+    the block must not read the others."""
+    paths: list[str] = []
+    token = _written.set((*_written.get(), paths))
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for x in paths:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet into the shared scratch folder and read it back: cuts the lineage durably and gives
     the planner the true size, so that later joins broadcast it only below spark.sql.autoBroadcastJoinThreshold."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if not keep and _written.get():
+        _written.get()[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more; only files under the scratch folder."""
-    for df in tables:
-        spark = df.sparkSession
-        base = scratch_dir(spark)
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            if path.toUri().getPath().startswith(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base).toUri().getPath() + "/"):
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """row_id and row (a struct of all columns) of every row, written once: ids stay the same however often it is read,
     whatever doc_id is (null, repeated), and no column's name can clash."""

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered, table
+from .common import materialize, numbered, table, temporary
 from .shingles import chunks, shingle_sets
 
 K, PERCENT = 5, 80
@@ -277,14 +277,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows are each returned, and rows that share a doc_id or have none are compared by their own texts. Documents that tie are
     named by the smallest doc_id. Very long texts are one set each; other columns are ignored. An empty table gives an empty result.
     """
-    info = materialize(describe(docs), "info")
-    labels, _ = linked_classes(docs, info)
-    c = info.join(labels, info.cls == labels.id, "left").select("doc_id", "n_shingles", F.coalesce("comp", "cls").alias("comp"))
-    c = materialize(c, "classes")
+    with temporary(docs.sparkSession):
+        info = materialize(describe(docs), "info")
+        labels, _ = linked_classes(docs, info)
+        c = info.join(labels, info.cls == labels.id, "left").select("doc_id", "n_shingles", F.coalesce("comp", "cls").alias("comp"))
+        c = materialize(c, "classes", keep=True)
     # a document alone in its component names it; the others' names are written, so that a component with very many
     # documents is split where they are joined, or the names are sent to all tasks if few
     least = c.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return c.join(materialize(least, "names"), "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return c.join(materialize(least, "names", keep=True), "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

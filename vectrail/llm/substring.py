@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, temporary
 from .shingles import Words, chunks, mix
 
 WINDOW, K = 20, 5
@@ -231,7 +231,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").alias("doc"), F.col("text").cast("binary").alias("text"))
     frequent = frequent_nodes(texts, docs.count())
-    spans = materialize(compact(materialize(meet(pieces(texts, frequent)), "links")), "spans")
+    with temporary(docs.sparkSession):
+        spans = materialize(compact(materialize(meet(pieces(texts, frequent)), "links")), "spans", keep=True)
     cuts = verify(texts, spans).groupBy(F.col("doc").alias("cut_doc")).agg(F.collect_list(F.struct("pos", "len")).alias("cuts"))
     all_ = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
 
