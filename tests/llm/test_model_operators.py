@@ -356,6 +356,37 @@ def test_license_scan_against_all_units(spark):
     assert want and got == want
 
 
+def test_license_like_units_that_resemble_no_template(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    like = ["You may not copy, modify or redistribute this software without a license from the copyright holder.", "Licensed under the Eclipse Public License, with exceptions for the compiler's own files.",
+            "Distributed under the Boost Software License, Version 1.0."]
+    other = ["The house stood at the end of the road and nobody who walked past it said a word.", "der Hund und die Katze"]
+    extra = spark.createDataFrame([(10_000 + i, f"Some words here.\n{t}") for i, t in enumerate(like + other)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.family, r.n_paragraphs) for r in licenses.document_licenses(docs.union(extra)).filter("doc_id >= 10000").collect()}
+    assert [got[10_000 + i] for i in range(len(like + other))] == [("unknown", 1)] * len(like) + [("none", 0)] * len(other)
+
+
+def test_long_runs_of_blanks_and_marks(spark):
+    text = "a" + " " * 20_000 + "b" + "*" * 20_000 + "c" + "\t" * 20_000 + "\nd"
+    assert [list(u) for u in spark.createDataFrame([(text,)], "text string").select(licenses.units(F.col("text"))).first()[0]] == [["a", "b", "c", "d"], ["a", "b", "c"], ["d"]]
+
+
+def test_classifier_reads_every_unit(spark):
+    """scan against the model's numbers, applied in Python to all units of all documents."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    parts = [w[i : i + 5] for texts in licenses.TEMPLATES.values() for t in texts for w in [licenses._plain(t)] for i in range(0, len(w), 5)]
+    docs = docs.union(spark.createDataFrame([(10_000 + i, " ".join(w)) for i, w in enumerate(parts)], docs.schema))
+    m = licenses.train(docs)
+    at, c, b = {g: i for i, g in enumerate(m.pipeline.stages[0].vocabulary)}, m.pipeline.stages[1].coefficientMatrix.toArray(), m.pipeline.stages[1].interceptVector.toArray()
+    want = {}
+    for row in docs.select("doc_id", F.posexplode(licenses.units(F.col("text"))).alias("at", "tok")).collect():
+        z = b + c[:, sorted({at[g] for g in [*row.tok, *map(" ".join, zip(row.tok, row.tok[1:]))] if g in at})].sum(axis=1)
+        if z.argmax() > 0:
+            want[row.doc_id, row.at] = math.exp(z.max() / m.temperature) / sum(math.exp(x / m.temperature) for x in z)
+    got = {(x.doc_id, x.at): x.probability for x in licenses.scan(docs, m).collect()}
+    assert len(want) > 30 and got == pytest.approx(want)
+
+
 EMAIL, IP, CARD, PHONE = (
     re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
 )

@@ -1,28 +1,26 @@
 """License scan: a sparse word n-gram logistic regression over paragraphs, confirmed by templates.
 
 Training rows are variations of the families' templates, labelled by construction, and a bounded sample of ordinary
-paragraphs of the corpus. The regression (L1, so that few n-grams carry weight) is Spark's own. Calibration is held out
+paragraphs of the corpus. The regression (L1, so that few n-grams carry weight) is Spark's own, over a vocabulary and not
+hashes: long ordinary units would gather the weights of n-grams that they only collide with. Calibration is held out
 by template: a first regression never sees one template of each family, and on that template's variations and on ordinary
 paragraphs set aside a temperature is chosen, and the bound below which a prediction becomes "unknown". A prediction also
 has to be confirmed: the text resembles one of its family's templates, and none of another family's more. Otherwise it is
 unknown too.
 
 A unit is a sentence of a paragraph: lines up to a blank one, without comment marks, joined, so that wrapped notices are
-whole; or a sentence of a line by itself. Units of more than SPAN words are read in overlapping spans. Units reach the
-classifier if they hold enough of some template's words to resemble it, which is fixed by the templates alone; only
-documents whose words allow that are cut into units.
+whole; or a sentence of a line by itself. Units of more than SPAN words are read in overlapping spans. The classifier reads
+every unit of every document; templates only confirm what it finds.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,14 +114,13 @@ MIN_RESEMBLANCE, MIN_PRECISION = 0.7, 0.99
 HELD_OUT = 1
 #: Words of a span of a long unit; the next begins half a span later.
 SPAN = 160
+#: Most frequent n-grams of ordinary units that the vocabulary has beside all those of the templates.
 FEATURES = 1 << 12
-_SPLIT = "[^a-z0-9]+"
-_MARKS = "(?m)^[ \\t]*(?:/\\*+|\\*+/?|//+|#+|--+|;+|%+|<!--|>)?[ \\t]*(.*?)[ \\t]*(?:\\*+/|-->)?[ \\t\\r]*$"
-_SENTENCE = "(?<=[.!?]) +(?=\\p{Lu})"
-
-
-def tokens(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), _SPLIT), "")
+_OTHER = "[^a-z0-9]+"
+#: Comment marks and blanks at a line's beginning and at its end; the second is tried only where a blank or a mark begins.
+_BEFORE = "(?m)^[ \\t]*(?:/\\*+|\\*+/?|//+|#+|--+|;+|%+|<!--|>)?[ \\t]*"
+_AFTER = "(?m)(?:(?<![ \\t])[ \\t]++(?:\\*++/|-->)?|(?<!\\*)\\*++/|-->|(?=\\r))[ \\t\\r]*$"
+_SENTENCE = " (?<=[.!?] ) *(?=\\p{Lu})"
 
 
 def _plain(text: str) -> list[str]:
@@ -142,6 +139,19 @@ def variations() -> list[tuple[str, str, int]]:
     return out
 
 
+def grams(tok: Column) -> Column:
+    """The tokens and the pairs of neighbours; the last token, which has no next one, is there twice."""
+    return F.concat(tok, F.zip_with(tok, F.slice(tok, 2, F.size(tok)), lambda a, b: F.concat_ws(" ", a, b)))
+
+
+def vocabulary(ordinary: DataFrame) -> list[str]:
+    """All n-grams of the templates, and the FEATURES n-grams that most of the ordinary units (tok) hold."""
+    texts = [_plain(t) for texts in TEMPLATES.values() for t in texts]
+    own = {g for w in texts for g in (*w, *map(" ".join, zip(w, w[1:], strict=False)))}
+    held = ordinary.select(F.explode(F.array_distinct(grams(F.col("tok")))).alias("g")).groupBy("g").count()
+    return sorted(own | {r.g for r in held.orderBy(F.desc("count"), "g").limit(FEATURES).collect()})
+
+
 def resemblance(found: Column, family: str) -> Column:
     """Largest part of one of the family's templates' distinct tokens that the given tokens hold."""
     scores = []
@@ -160,38 +170,32 @@ class LicenseModel:
     bound: float
 
     def score(self, units: DataFrame) -> DataFrame:
-        """units (tok) with p, the calibrated probabilities by class."""
+        """Those of units (tok) whose class isn't NONE, with p, the calibrated probabilities by class."""
         raw = vector_to_array(F.col("rawPrediction"))
         scaled = F.transform(raw, lambda x: x / F.lit(self.temperature))
-        d = self.pipeline.transform(units).withColumn("_z", scaled)
+        d = self.pipeline.transform(units.withColumn("grams", grams(F.col("tok"))))
+        # a lambda over one element: the scores of a unit are made once
+        d = d.filter(F.exists(F.array(raw), lambda z: F.element_at(z, 1) < F.array_max(z))).withColumn("_z", scaled)
         d = d.withColumn("_e", F.transform("_z", lambda x: F.exp(x - F.array_max("_z"))))
         d = d.withColumn("_s", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
         d = d.withColumn("p", F.transform("_e", lambda x: x / F.col("_s")))
-        return d.drop("bi", "f1", "f2", "features", "rawPrediction", "probability", "prediction", "_z", "_e", "_s")
+        return d.drop("grams", "features", "rawPrediction", "probability", "prediction", "_z", "_e", "_s")
 
 
 def units(text: Column) -> Column:
     """Array of the units of a text, as arrays of tokens."""
-    plain = F.regexp_replace(text, _MARKS, "$1")
-    wrapped = F.transform(F.split(plain, "\\n\\s*\\n"), lambda x: F.replace(x, F.lit("\n"), F.lit(" ")))
-    pieces = F.flatten(F.transform(F.array_union(wrapped, F.split(plain, "\n+")), lambda x: F.split(x, _SENTENCE)))
+    pieces = lambda x: F.array_union(F.transform(F.split(x, "\\n\\s*\\n"), lambda y: F.replace(y, F.lit("\n"), F.lit(" "))), F.split(x, "\n+"))
+    # a lambda over one element: the text without marks is made once, for its paragraphs and its lines
+    plain = F.regexp_replace(F.regexp_replace(text, _BEFORE, ""), _AFTER, "")
+    sentences = F.flatten(F.transform(F.flatten(F.transform(F.array(plain), pieces)), lambda x: F.split(x, _SENTENCE)))
     # distinct as strings, which are hashed; arrays of arrays would be compared pair by pair
-    found = F.transform(F.array_distinct(F.transform(pieces, lambda x: F.array_join(tokens(x), " "))), lambda x: F.split(x, " "))
+    found = F.transform(F.array_distinct(F.transform(sentences, lambda x: F.trim(F.regexp_replace(F.lower(x), _OTHER, " ")))), lambda x: F.split(x, " "))
     half = SPAN // 2
     spans = F.flatten(F.transform(found, lambda t: F.when(F.size(t) <= SPAN, F.array(t)).otherwise(
         F.transform(F.sequence(F.lit(0), F.floor((F.size(t) - 1) / half)), lambda i: F.slice(t, (i * half + 1).cast("int"), SPAN)))))
     return F.filter(spans, lambda t: F.element_at(t, 1) != "")
 
 
-def can_resemble(tok: Column) -> Column:
-    """Whether the tokens hold MIN_RESEMBLANCE of some template's distinct tokens; fixed, and so not drawn from a sample."""
-    templates = [sorted(set(_plain(t))) for texts in TEMPLATES.values() for t in texts]
-    need = [math.ceil(MIN_RESEMBLANCE * len(t) - 1e-9) for t in templates]
-    used = F.array_distinct(F.filter(tok, lambda x: x.isin(*sorted({w for t in templates for w in t}))))
-    # a lambda over one element: the few words are made once, for all templates
-    return F.exists(F.array(used), lambda x: (F.size(x) >= min(need)) & reduce(or_, [F.size(F.array_intersect(x, F.array(*[F.lit(w) for w in t]))) >= n for t, n in zip(templates, need, strict=True)]))
-
-
 def _calibrated(z: list[float], t: float) -> list[float]:
     e = [math.exp((x - max(z)) / t) for x in z]
     return [x / sum(e) for x in e]
@@ -241,12 +245,11 @@ def train(docs: DataFrame) -> LicenseModel:
     weight = F.lit(len(positive_rows) / ORDINARY)
     for f, n in counts.items():
         weight = F.when(F.col("family") == f, F.lit(len(positive_rows) / len(FAMILIES) / n)).otherwise(weight)
-    rows = materialize(rows.withColumn("label", label).withColumn("weight", weight), "labelled")
+    rows = materialize(rows.withColumn("grams", grams(F.col("tok"))).withColumn("label", label).withColumn("weight", weight), "labelled")
     stages = [
-        NGram(n=2, inputCol="tok", outputCol="bi"), HashingTF(inputCol="tok", outputCol="f1", numFeatures=FEATURES, binary=True),
-        HashingTF(inputCol="bi", outputCol="f2", numFeatures=FEATURES, binary=True), VectorAssembler(inputCols=["f1", "f2"], outputCol="features"),
+        CountVectorizerModel.from_vocabulary(vocabulary(lines), inputCol="grams", outputCol="features", binary=True),
         LogisticRegression(maxIter=20, regParam=0.0005, elasticNetParam=1.0, family="multinomial", standardization=False, weightCol="weight"),
-    ]
+    ]
     first = Pipeline(stages=stages).fit(rows.filter("not held"))
     out = first.transform(rows.filter("held")).withColumn("like", F.array(*[resemblance(F.col("tok"), f) for f in FAMILIES]))
     ok = F.array(*[confirmed(F.col("like"), F.lit(f)) for f in FAMILIES])
@@ -256,11 +259,10 @@ def train(docs: DataFrame) -> LicenseModel:
 
 def scan(docs: DataFrame, model: LicenseModel) -> DataFrame:
     """doc_id, at, family, probability, resemblance of the units of docs that announce a license."""
-    some = docs.filter(can_resemble(tokens(F.coalesce("text", F.lit("")))))
-    found = some.select("doc_id", F.posexplode(F.filter(units(F.col("text")), can_resemble)).alias("at", "tok"))
+    found = docs.select("doc_id", F.posexplode(units(F.col("text"))).alias("at", "tok"))
     s = model.score(found).withColumn("top", F.array_max("p")).withColumn("k", F.array_position("p", F.array_max("p")).cast("int"))
     family = F.element_at(F.array(*[F.lit(c) for c in model.classes]), F.col("k"))
-    s = s.withColumn("family", family).filter(F.col("family") != NONE).withColumn("like", F.array(*[resemblance(F.col("tok"), f) for f in FAMILIES]))
+    s = s.withColumn("family", family).withColumn("like", F.array(*[resemblance(F.col("tok"), f) for f in FAMILIES]))
     own = F.element_at("like", F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family")).cast("int"))
     sure = (F.col("top") >= model.bound) & confirmed(F.col("like"), F.col("family"))
     s = s.withColumn("resemblance", own)
